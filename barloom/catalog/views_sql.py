@@ -108,3 +108,54 @@ SELECT user_id AS entry_id, event_id AS seq, ts, event_type AS family,
             ELSE 'open' END AS status,
        CAST(round(value * 100) AS BIGINT) AS amount_c, props
 FROM events""")
+
+
+def ema_sql(source: str, span: int, value: str = "close") -> str:
+    """Recursive EMA over an ordered (security_id, session, rn, value) source."""
+    a = f"(CAST(2 AS DOUBLE) / {span + 1})"
+    return f"""
+SELECT security_id, rn, session, {value} AS y FROM {source} WHERE rn = 1
+UNION ALL
+SELECT s.security_id, s.rn, s.session, {a} * s.{value} + (1 - {a}) * e.y
+FROM {{self}} e JOIN {source} s ON s.security_id = e.security_id AND s.rn = e.rn + 1"""
+
+
+for _name, _from in (("v_daily_rn", "v_bars"), ("v_weekly_rn", "v_weekly"), ("v_monthly_rn", "v_monthly")):
+    view(_name, f"SELECT *, row_number() OVER (PARTITION BY security_id ORDER BY session) AS rn FROM {_from}")
+view("v_ema5", ema_sql("v_daily_rn", 5).format(self="v_ema5"))
+view("v_wema13", ema_sql("v_weekly_rn", 13).format(self="v_wema13"))
+view("v_mema6", ema_sql("v_monthly_rn", 6).format(self="v_mema6"))
+
+_P = "OVER (PARTITION BY security_id ORDER BY session)"
+
+
+def _roll(fn: str, x: str, n: int) -> str:
+    frame = f"OVER (PARTITION BY security_id ORDER BY session ROWS {n - 1} PRECEDING)"
+    return f"CASE WHEN count({x}) {frame} >= {n} THEN {fn}({x}) {frame} END"
+
+
+view("v_tr", f"""
+SELECT *, greatest(high - low, abs(high - prev_close), abs(low - prev_close)) AS tr
+FROM (SELECT *, lag(close) {_P} AS prev_close FROM v_daily_rn)""")
+view("v_feat", f"""
+SELECT t.security_id, t.session, t.rn, t.open, t.high, t.low, t.close, t.volume,
+       close AS daily_close, {_roll('avg', 'close', 10)} AS daily_sma10,
+       close / lag(close, 5) {_P} - 1 AS daily_return5, close / lag(close, 20) {_P} - 1 AS daily_return20,
+       {_roll('avg', 'tr', 14)} AS daily_atr14, {_roll('min', 'low', 10)} AS daily_rolling_low10,
+       {_roll('min', 'low', 20)} AS daily_rolling_low20, {_roll('max', 'high', 20)} AS daily_rolling_high20,
+       {_roll('avg', 'close * volume', 20)} AS adv20
+FROM v_tr t""")
+view("v_week_feat", """
+SELECT w.security_id, w.session AS weekly_available, w.close AS weekly_close,
+       CASE WHEN w.rn >= 13 THEN e.y END AS weekly_ema13
+FROM v_weekly_rn w JOIN v_wema13 e USING (security_id, rn)""")
+view("v_month_feat", """
+SELECT w.security_id, w.session AS monthly_available, w.close AS monthly_close,
+       CASE WHEN w.rn >= 6 THEN e.y END AS monthly_ema6
+FROM v_monthly_rn w JOIN v_mema6 e USING (security_id, rn)""")
+view("v_matrix", """
+SELECT f.*, CASE WHEN f.rn >= 5 THEN e.y END AS daily_ema5, w.weekly_available, w.weekly_close, w.weekly_ema13,
+       m.monthly_available, m.monthly_close, m.monthly_ema6
+FROM v_feat f JOIN v_ema5 e ON e.security_id = f.security_id AND e.rn = f.rn
+ASOF LEFT JOIN v_week_feat w ON w.security_id = f.security_id AND w.weekly_available <= f.session
+ASOF LEFT JOIN v_month_feat m ON m.security_id = f.security_id AND m.monthly_available <= f.session""")
