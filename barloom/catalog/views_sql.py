@@ -159,3 +159,64 @@ SELECT f.*, CASE WHEN f.rn >= 5 THEN e.y END AS daily_ema5, w.weekly_available,
 FROM v_feat f JOIN v_ema5 e ON e.security_id = f.security_id AND e.rn = f.rn
 ASOF LEFT JOIN v_week_feat w ON w.security_id = f.security_id AND w.weekly_available <= f.session
 ASOF LEFT JOIN v_month_feat m ON m.security_id = f.security_id AND m.monthly_available <= f.session""")
+
+_RULES = [
+    (f"{frame}-{avg}{n}-{word}__{slug}", f"{frame}_close {op} {frame}_{avg}{n}", cond)
+    for frame, avg, n in (("weekly", "ema", 13), ("monthly", "ema", 6))
+    for word, op in (("above", ">"), ("below", "<"))
+    for slug, cond in (
+        ("close-cross-ema5", "daily_close > daily_ema5 AND prev_close <= prev_ema5"),
+        ("close-cross-sma10", "daily_close > daily_sma10 AND prev_close <= prev_sma10"),
+        ("return5-cross-zero", "daily_return5 > 0 AND prev_return5 <= 0"),
+    )
+]
+view("v_lagged", f"""
+SELECT *, lag(daily_close) {_P} AS prev_close, lag(daily_ema5) {_P} AS prev_ema5,
+       lag(daily_sma10) {_P} AS prev_sma10, lag(daily_return5) {_P} AS prev_return5 FROM v_matrix""")
+view("v_hits", " UNION ALL ".join(
+    f"SELECT '{name}' AS rule, m.* FROM v_lagged m WHERE {where} AND {when} AND daily_return20 IS NOT NULL AND adv20 IS NOT NULL"
+    for name, where, when in _RULES))
+view("v_signals", """
+SELECT h.*, c.ord AS signal_ord, c.session AS signal_session, c.next_session AS entry_session
+FROM v_hits h JOIN v_calendar c ON c.session = h.session""")
+view("v_grid", " UNION ALL ".join(
+    f"SELECT '{stop}' AS stop_slug, '{target}' AS target_slug, {sfact} AS stop_fact_value, {tkind} AS target_kind"
+    for stop, sfact in (("atr14x1", "1"), ("atr14x1p5", "2"), ("rolling-low10", "3"), ("rolling-low20", "4"))
+    for target, tkind in (("risk1p75", "1"), ("risk2p5", "2"), ("rolling-high20", "3"))))
+view("v_levels0", """
+SELECT s.*, s.rule || '__' || g.stop_slug || '__target-' || g.target_slug AS strategy_id, g.stop_slug, g.target_slug, target_kind,
+       e.open AS entry_price,
+       CASE stop_fact_value WHEN 1 THEN e.open - daily_atr14 * 1.0 WHEN 2 THEN e.open - daily_atr14 * 1.5
+            WHEN 3 THEN daily_rolling_low10 ELSE daily_rolling_low20 END AS stop
+FROM v_signals s CROSS JOIN v_grid g
+LEFT JOIN v_bars e ON e.security_id = s.security_id AND e.session = s.entry_session""")
+view("v_levels1", """
+SELECT *, entry_price - stop AS risk, CASE target_kind WHEN 1 THEN entry_price + (entry_price - stop) * CAST(1.75 AS DOUBLE)
+            WHEN 2 THEN entry_price + (entry_price - stop) * CAST(2.5 AS DOUBLE) ELSE daily_rolling_high20 END AS target
+FROM v_levels0""")
+view("v_levels", """
+SELECT *, CASE WHEN entry_price IS NULL OR stop IS NULL OR target IS NULL THEN 'missing_geometry'
+     WHEN NOT (stop > 0 AND stop < entry_price AND target > entry_price AND risk / entry_price <= CAST(0.12 AS DOUBLE)
+               AND (target - entry_price) / risk > 1.5) THEN 'invalid_geometry' END AS geometry_reason
+FROM v_levels1""")
+view("v_next_event", """
+SELECT c.security_id, c.signal_session, c.entry_session, min(s.event_session) AS next_event
+FROM (SELECT DISTINCT security_id, signal_session, entry_session FROM v_signals) c
+JOIN v_schedule s ON s.security_id = c.security_id AND s.event_session >= c.entry_session
+ AND s.known_session <= c.signal_session AND c.signal_session < coalesce(s.superseded_session, DATE '9999-12-31')
+GROUP BY 1, 2, 3""")
+view("v_path", """
+SELECT l.security_id, l.strategy_id, l.signal_session, b.session, b.open, b.high, b.low, b.close,
+       b.rn - e.rn AS i, l.stop, l.target
+FROM (SELECT * FROM v_levels WHERE geometry_reason IS NULL) l
+JOIN v_daily_rn e ON e.security_id = l.security_id AND e.session = l.entry_session
+JOIN v_daily_rn b ON b.security_id = l.security_id AND b.rn BETWEEN e.rn AND e.rn + 20""")
+view("v_touch", """
+SELECT *, CASE WHEN i > 0 AND open <= stop THEN 'gap_stop' WHEN i > 0 AND open >= target THEN 'gap_target'
+               WHEN low <= stop THEN 'stop' WHEN high >= target THEN 'target' WHEN i = 20 THEN 'time' END AS reason,
+       CASE WHEN i > 0 AND (open <= stop OR open >= target) THEN open WHEN low <= stop THEN stop
+            WHEN high >= target THEN target ELSE close END AS price
+FROM v_path""")
+view("v_exits", """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY strategy_id, security_id, signal_session ORDER BY i) AS k
+               FROM v_touch WHERE reason IS NOT NULL) WHERE k = 1""")
