@@ -173,16 +173,17 @@ _RULES = [
 view("v_lagged", f"""
 SELECT *, lag(daily_close) {_P} AS prev_close, lag(daily_ema5) {_P} AS prev_ema5,
        lag(daily_sma10) {_P} AS prev_sma10, lag(daily_return5) {_P} AS prev_return5 FROM v_matrix""")
-view("v_hits", " UNION ALL ".join(
-    f"SELECT '{name}' AS rule, m.* FROM v_lagged m WHERE {where} AND {when} AND daily_return20 IS NOT NULL AND adv20 IS NOT NULL"
-    for name, where, when in _RULES))
+view("v_hits", "SELECT * FROM (SELECT unnest([" + ", ".join(
+    f"CASE WHEN {where} AND {when} THEN '{name}' END" for name, where, when in _RULES)
+    + "]) AS rule, m.* FROM v_lagged m WHERE daily_return20 IS NOT NULL AND adv20 IS NOT NULL) WHERE rule IS NOT NULL")
 view("v_signals", """
 SELECT h.*, c.ord AS signal_ord, c.session AS signal_session, c.next_session AS entry_session
 FROM v_hits h JOIN v_calendar c ON c.session = h.session""")
-view("v_grid", " UNION ALL ".join(
-    f"SELECT '{stop}' AS stop_slug, '{target}' AS target_slug, {sfact} AS stop_fact_value, {tkind} AS target_kind"
-    for stop, sfact in (("atr14x1", "1"), ("atr14x1p5", "2"), ("rolling-low10", "3"), ("rolling-low20", "4"))
-    for target, tkind in (("risk1p75", "1"), ("risk2p5", "2"), ("rolling-high20", "3"))))
+view("v_grid", "SELECT * FROM (VALUES " + ", ".join(
+    f"('{stop}', '{target}', {sfact}, {tkind})"
+    for sfact, stop in enumerate(("atr14x1", "atr14x1p5", "rolling-low10", "rolling-low20"), 1)
+    for tkind, target in enumerate(("risk1p75", "risk2p5", "rolling-high20"), 1))
+    + ") g(stop_slug, target_slug, stop_fact_value, target_kind)")
 view("v_levels0", """
 SELECT s.*, s.rule || '__' || g.stop_slug || '__target-' || g.target_slug AS strategy_id, g.stop_slug, g.target_slug, target_kind,
        e.open AS entry_price,
