@@ -8,6 +8,7 @@ from barloom.catalog.common import present
 from barloom.catalog.views_sql import view, with_views
 from barloom.functions.canonical import canonical_json
 from barloom.operators import bars as B, integrity as I, quality as Y
+from barloom.operators.scaled import bucketed_running
 from barloom.sources import market_views as M
 
 QUERIES, ORACLE = {}, {}
@@ -273,12 +274,13 @@ SELECT entry_id, sequence, problem FROM (SELECT e.entry_id, e.sequence, unnest([
  FROM v_broken e LEFT JOIN v_broken b ON b.entry_id = e.entry_id AND b.sequence = e.sequence - 1) WHERE problem IS NOT NULL""",
    v_chain=_CHAIN, v_broken="SELECT * FROM v_chain WHERE seq % 83 <> 0"))
 def chain_verify(spark, sf):
-    from pyspark.sql import Window
-
     body = canonical_json(amount=F.col("amount_c"), entry=F.col("entry_id"), seq=F.col("seq"), status=F.col("status"))
     rows = M.ledger(spark, sf).select("entry_id", "seq", "status", "amount_c").withColumn("h", F.sha2(body, 256))
-    order = Window.partitionBy("entry_id").orderBy("seq")
-    chain = rows.withColumn("p", F.lag("h").over(order)).withColumn("sequence", F.row_number().over(order))
+    chain = bucketed_running(
+        rows, ["entry_id"], [F.col("seq")], F.floor(F.col("seq") / 65536), {"sequence": F.lit(1).cast("long")}
+    )
+    before = chain.select("entry_id", (F.col("sequence") + 1).alias("sequence"), F.col("h").alias("p"))
+    chain = chain.join(before, ["entry_id", "sequence"], "left")
     seq = F.col("seq")
     broken = (
         chain.withColumn(

@@ -138,6 +138,14 @@ def snapshot_intervals(snapshots: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
+def with_historical(intervals: DataFrame, historical: DataFrame) -> DataFrame:
+    """Add past results as open intervals; the last snapshot's version of each wins."""
+    latest = historical.groupBy("security_id", "event_session").agg(
+        F.max_by("known_session", "snap").alias("known_session")
+    )
+    return intervals.unionByName(latest.withColumn("superseded_session", F.lit(None).cast("date")))
+
+
 def merged_coverage(coverage: DataFrame) -> DataFrame:
     """Widest coverage per security over all snapshots."""
     return coverage.groupBy("security_id").agg(
