@@ -7,6 +7,7 @@ calendar, however many prints stand behind it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
@@ -58,6 +59,9 @@ def true_range(high: Column, low: Column, close: Column, keys: Sequence, order:
     return F.greatest(high - low, F.abs(high - before), F.abs(low - before))
 
 
+SHORT_SPAN = 32
+
+
 def with_ema(
     df: DataFrame,
     value: Column,
@@ -69,43 +73,49 @@ def with_ema(
 ) -> DataFrame:
     """Exponential average ``y = a*x + (1-a)*y_prev`` started at the first row.
 
-    Written as window sums so it stays in the JVM. Inside blocks of 16*span
-    rows the recursion is a weighted running sum scaled by powers of r = 1-a;
-    what earlier blocks contribute enters through the previous block's last
-    value. A block shrinks older values by r**(16*span), about 1e-14, so one
-    carried block end is exact to double precision.
+    Older values shrink by r = 1-a per row, so after 18*span rows their weight
+    is below double precision. Short spans fold the recursion over that many
+    trailing values; longer ones build the weighted sum from lags.
     """
     if span == 1:
         return df.withColumn(out, value)
+    if span > SHORT_SPAN:
+        return _with_long_ema(df, value, span, out, keys, order, full_only)
     alpha = 2.0 / (span + 1)
-    r = 1.0 - alpha
-    size = 16 * span
     by_key = Window.partitionBy(*keys).orderBy(order)
-    upto = by_key.rowsBetween(Window.unboundedPreceding, -1)
-    i, block, j, part, end = (f"_{out}_{s}" for s in ("i", "b", "j", "e", "end"))
-    by_block = (
-        Window.partitionBy(*keys, block).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    weight = F.when(F.col(i) == 0, F.lit(1.0)).otherwise(F.lit(alpha))
-    last_of_block = F.col(j) == size - 1
-    df = (
-        df.withColumn(i, F.row_number().over(by_key) - 1)
-        .withColumn(block, F.floor(F.col(i) / size))
-        .withColumn(j, F.col(i) - F.col(block) * size)
-        .withColumn(
-            part,
-            F.sum(weight * value * F.pow(F.lit(r), -F.col(j))).over(by_block) * F.pow(F.lit(r), F.col(j)),
-        )
-    )
-    carried = F.last(F.when(last_of_block, F.col(part)), ignorenulls=True).over(upto)
-    df = df.withColumn(
-        end, F.when(last_of_block, F.col(part) + F.coalesce(carried, F.lit(0.0)) * (r**size))
-    )
-    carry = F.last(F.col(end), ignorenulls=True).over(upto)
-    y = F.col(part) + F.pow(F.lit(r), F.col(j) + 1) * F.coalesce(carry, F.lit(0.0))
+    tail = f"_{out}_tail"
+    df = df.withColumn(tail, F.collect_list(value).over(by_key.rowsBetween(-(18 * span - 1), 0)))
+    y = F.aggregate(tail, F.lit(None).cast("double"), lambda acc, x: F.coalesce(acc + alpha * (x - acc), x))
+    if full_only:
+        y = F.when(F.size(tail) >= span, y)
+    return df.withColumn(out, y).drop(tail)
+
+
+def _with_long_ema(
+    df: DataFrame, value: Column, span: int, out: str, keys: Sequence[str], order: str, full_only: bool
+) -> DataFrame:
+    """The same average as three passes of lags.
+
+    The weighted sum of trailing values is built over ``base`` rows, then over
+    ``base`` such sums, then once more, each step scaled by the matching power
+    of r. The number of lags grows with the cube root of the span.
+    """
+    alpha = 2.0 / (span + 1)
+    r = 1.0 - alpha
+    base = math.ceil((18 * span) ** (1 / 3))
+    row = Window.partitionBy(*keys).orderBy(order)
+    first = F.lag(F.lit(1)).over(row).isNull()
+    part = f"_{out}_sum"
+    df = df.withColumn(part, F.when(first, value).otherwise(value * alpha))
+    for stride in (1, base, base * base):
+        total = F.col(part)
+        for i in range(1, base):
+            total = total + F.lag(part, i * stride, 0.0).over(row) * r ** (i * stride)
+        df = df.withColumn(part, total)
+    y = F.col(part)
     if full_only:
-        y = F.when(F.col(i) >= span - 1, y)
-    return df.withColumn(out, y).drop(i, block, j, part, end)
+        y = F.when(F.lag(F.lit(1), span - 1).over(row).isNotNull(), y)
+    return df.withColumn(out, y).drop(part)
 
 
 def with_features(
