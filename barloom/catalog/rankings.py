@@ -210,7 +210,7 @@ def option_overlap_mean(spark, sf):
 
 
 @q("pair_jaccard", with_views("""
-SELECT l.strategy_id AS left_member, r.strategy_id AS right_member, x.ci AS candidate_intersection, l.c + r.c - coalesce(x.ci, 0) AS candidate_union,
+SELECT l.strategy_id AS left_member, r.strategy_id AS right_member, coalesce(x.ci, 0) AS candidate_intersection, l.c + r.c - coalesce(x.ci, 0) AS candidate_union,
   round(CAST(coalesce(x.ci, 0) AS DOUBLE) / (l.c + r.c - coalesce(x.ci, 0)), 8) AS candidate_jaccard,
   coalesce(x.fi, 0) AS filled_intersection, round(CAST(coalesce(x.fi, 0) AS DOUBLE) / nullif(l.f + r.f - coalesce(x.fi, 0), 0), 8) AS filled_jaccard
 FROM v_size l JOIN v_size r ON l.strategy_id < r.strategy_id LEFT JOIN (
