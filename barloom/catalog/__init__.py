@@ -10,7 +10,7 @@ from importlib import import_module
 
 MODULES = (
     "bars", "features", "signals", "outcomes", "performance", "rankings", "cohorts",
-    "quality", "schedules", "ledgers", "identity", "reports", "streams",
+    "quality", "schedules", "ledgers", "identity", "masters", "reports", "streams",
 )
 
 

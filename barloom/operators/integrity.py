@@ -72,11 +72,13 @@ def uncovered_facts(facts: DataFrame, intervals: DataFrame, key: str, at: str) -
 
     A fact is covered when the farthest end among intervals that started by
     then lies beyond it, so one backward as-of lookup replaces the range join.
+    Keys are cut by month, so a key with very many facts is spread over tasks.
     """
     order = Window.partitionBy(key).orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     merged = intervals.groupBy(key, "start").agg(F.max("end").alias("end"))
     reach = merged.select(key, "start", F.max("end").over(order).alias("reach"))
-    found = asof_backward(facts, reach, [key], at, "start", ["reach"])
+    by_month = lambda moment: F.trunc(moment, "MM")
+    found = asof_backward(facts, reach, [key], at, "start", ["reach"], slice_of=by_month)
     return found.where(F.col("reach").isNull() | (F.col("reach") <= F.col(at))).drop("start", "reach")
 
 

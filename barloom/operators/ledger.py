@@ -39,7 +39,7 @@ def tail_rows(rows: DataFrame, order: str, n: int, newest_last: bool = True) ->
     return newest.orderBy(F.col(order).asc() if newest_last else F.col(order).desc())
 
 
-def restart_segments(rows: DataFrame, position: str, session: str, chunk: int = 65536) -> DataFrame:
+def restart_segments(rows: DataFrame, position: str, session: str, chunk: int = 1 << 20) -> DataFrame:
     """Number the runs of a file: a new run starts where the session does not advance."""
     part = F.floor(F.col(position) / chunk)
     inside = Window.partitionBy("_part").orderBy(position)
@@ -48,13 +48,13 @@ def restart_segments(rows: DataFrame, position: str, session: str, chunk: int =
     previous = ends.select(
         F.lead("_part").over(Window.orderBy("_part")).alias("_part"), F.col("_tail").alias("_carried")
     ).where(F.col("_part").isNotNull())
-    linked = stepped.join(F.broadcast(previous), "_part", "left")
+    linked = stepped.join(previous, "_part", "left")
     restart = F.col(session) <= F.coalesce("_before", "_carried")
     flagged = linked.withColumn("_restart", F.coalesce(restart, F.lit(False)).cast("long")).drop("_part", "_before", "_carried")
     return bucketed_running(flagged, [], [F.col(position)], part, {"segment": F.col("_restart")}).drop("_restart")
 
 
-def ordered_allotment(owners: DataFrame, rows: DataFrame, owner: str, count: str, index: str, chunk: int = 65536) -> DataFrame:
+def ordered_allotment(owners: DataFrame, rows: DataFrame, owner: str, count: str, index: str, chunk: int = 1 << 20) -> DataFrame:
     """Give unlabelled rows to owners in order: the first ``count`` rows to the first owner and so on.
 
     An owner's range start is a running sum; rows find their range by a

@@ -59,7 +59,7 @@ def jaccard(
     ``empty`` is the ratio of two empty sets: null unless given.
     """
     wanted = pairs.select(F.explode(F.array("left_member", "right_member")).alias(member)).distinct()
-    rows = memberships.join(F.broadcast(wanted), member, "left_semi")
+    rows = memberships.join(wanted, member, "left_semi")
     inter = pair_intersections(rows, keys, member, by)
     sizes = set_sizes(rows, keys, member, by)
     left = sizes.withColumnRenamed(member, "left_member").withColumnRenamed("size", "_l")

@@ -63,9 +63,10 @@ def trade_windows(trades: DataFrame, bars: DataFrame, pad: int = 8) -> DataFrame
     where = placed.select("security_id", F.col("session").alias("at"), F.col("pos").alias("found"))
     by = ["security_id"]
     before_entry = trades.withColumn("_eve", F.date_sub("entry_session", 1))
-    entered = asof_backward(before_entry, where, by, "_eve", "at", ["found"])
+    by_month = lambda moment: F.trunc(moment, "MM")
+    entered = asof_backward(before_entry, where, by, "_eve", "at", ["found"], slice_of=by_month)
     entered = entered.withColumn("_entry", F.coalesce("found", F.lit(0)) + 1).drop("_eve", "at", "found")
-    left = asof_backward(entered, where, by, "exit_session", "at", ["found"])
+    left = asof_backward(entered, where, by, "exit_session", "at", ["found"], slice_of=by_month)
     spans = left.where(F.col("found").isNotNull()).withColumn("_exit", F.col("found")).drop("at", "found")
     ends = placed.groupBy("security_id").agg(F.max("pos").alias("_last"))
     known = spans.join(ends, "security_id").where(F.col("_entry") <= F.col("_last"))

@@ -146,17 +146,17 @@ def study_range(manifest: DataFrame, calendar: DataFrame, cutoff: Column, buffer
     sessions before the cutoff. ``late_members`` counts securities that do not
     end on the cutoff, which makes the range unusable.
     """
+    ranked = calendar.where(F.col("session") <= cutoff).withColumn(
+        "_back", F.row_number().over(Window.orderBy(F.col("session").desc()))
+    )
+    end = ranked.where(F.col("_back") == buffer).select("session").scalar()
     facts = manifest.agg(
         F.max("first_session").alias("evaluation_start"),
         F.count_if(F.col("last_session") != cutoff).alias("late_members"),
-    ).withColumn("cutoff", cutoff)
-    ranked = calendar.where(F.col("session") <= cutoff).withColumn(
-        "_back", F.row_number().over(Window.orderBy(F.col("session").desc()))
     )
-    end = ranked.where(F.col("_back") == buffer).select(F.col("session").alias("evaluation_end_exclusive"))
-    return facts.join(F.broadcast(end)).select(
+    return facts.select(
         "evaluation_start",
-        "evaluation_end_exclusive",
-        F.date_add("cutoff", 1).alias("coverage_end_exclusive"),
+        end.alias("evaluation_end_exclusive"),
+        F.date_add(cutoff, 1).alias("coverage_end_exclusive"),
         "late_members",
     )

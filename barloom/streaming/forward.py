@@ -125,7 +125,7 @@ def missing_roster(roster: DataFrame, key: str = "security_id"):
 
     def check(batch: DataFrame) -> DataFrame:
         needed = roster.select(F.count_distinct(key)).scalar()
-        present = batch.join(F.broadcast(roster.select(key)), key, "left_semi")
+        present = batch.join(roster.select(key), key, "left_semi")
         per = batch.select("session").distinct().join(
             present.groupBy("session").agg(F.count_distinct(key).alias("n")), "session", "left"
         )
