@@ -17,9 +17,11 @@ def bars_from_prints(prints: DataFrame, tick: Sequence[str]) -> DataFrame:
 
     ``tick`` columns order the prints of one session totally. Everything is a
     decomposable aggregate, so a hot security is combined map-side and only
-    one row per (security, session) and task crosses the network.
+    one row per (security, session) and task crosses the network. A single
+    numeric tick keeps the aggregation hash-based; several columns are compared
+    as a struct, which Spark aggregates by sorting.
     """
-    order = F.struct(*tick)
+    order = F.col(tick[0]) if len(tick) == 1 else F.struct(*tick)
     return prints.groupBy("security_id", "session").agg(
         F.min_by("open", order).alias("open"),
         F.max("high").alias("high"),

@@ -7,7 +7,9 @@ Spark and an oracle engine see exactly the same numbers.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from barloom.operators.bars import bars_from_prints
 from barloom.operators.sessions import session_calendar, small
@@ -16,6 +18,25 @@ CAPITAL = 100_000
 TICK = ("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
 
 
+def tick_number() -> Column:
+    """The tick columns packed into one number with the same order.
+
+    Twelve digits each for order and part, two for the line, nine for cents.
+    """
+
+    def place(value: Column, digits: int, shift: int) -> Column:
+        return value.cast(f"decimal({digits},0)") * F.lit(Decimal(10**shift)).cast(f"decimal({shift + 1},0)")
+
+    cents = F.round(F.col("l_extendedprice") * 100)
+    packed = (
+        place(F.col("l_orderkey"), 12, 23)
+        + place(F.col("l_linenumber"), 2, 21)
+        + place(F.col("l_partkey"), 12, 9)
+        + cents.cast("decimal(9,0)")
+    )
+    return packed.cast("decimal(38,0)")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -51,6 +72,7 @@ def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, d, t = F.col("price_c"), F.col("disc_c"), F.col("tax_c")
     return order_lines(spark, sf_dir).select(
         *TICK,
+        tick_number().alias("tick"),
         "security_id",
         "session",
         dollars(p).alias("open"),
@@ -62,7 +84,7 @@ def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars_from_prints(prints(spark, sf_dir), TICK)
+    return bars_from_prints(prints(spark, sf_dir), ["tick"])
 
 
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
