@@ -9,42 +9,51 @@ def with_forward_path(bars: DataFrame, hold: int, start: int = 0, out: str = "pa
     """Each bar with the ``hold`` bars from offset ``start`` on, as an array.
 
     The array is bounded by ``hold``; it turns the range join between entries
-    and their following bars into an equality join on the entry bar.
+    and their following bars into an equality join on the entry bar. ``pos``
+    numbers the security's bars.
     """
-    frame = Window.partitionBy("security_id").orderBy("session").rowsBetween(start, start + hold - 1)
-    return bars.withColumn(out, F.collect_list(F.struct("session", "open", "high", "low", "close")).over(frame))
+    order = Window.partitionBy("security_id").orderBy("session")
+    bar = F.struct("pos", "session", "open", "high", "low", "close")
+    ahead = F.collect_list(bar).over(order.rowsBetween(start, start + hold - 1))
+    return bars.withColumn("pos", F.row_number().over(order)).withColumn(out, ahead).drop("pos")
 
 
-def first_touch(path: Column, stop: Column, target: Column, hold: int) -> Column:
-    """Exit of a position entered at the open of ``path[0]``.
+def with_first_touch(df: DataFrame, hold: int, out: str = "exit", entered: Column | None = None) -> DataFrame:
+    """Exit of each position (stop, target) entered at the open of ``path[0]``.
 
     Order on each bar: gap through the stop at the open, gap through the
     target at the open (both only on carried days), low at or below the stop,
-    high at or above the target, close of the last allowed bar. The result is
-    a struct (held, session, reason, price), null while still open.
+    high at or above the target, close of the last allowed bar. ``out`` is a
+    struct (held, session, reason, price), null while still open and where
+    ``entered`` is false. Bars are valid (low <= open <= high), so a gap shows
+    in the low or high too and the first bar of interest is found by those; the
+    rest is worked out once, on that bar.
     """
-
-    def judge(bar, i):
-        carried = i > 0
-        reason = (
-            F.when(carried & (bar["open"] <= stop), "gap_stop")
-            .when(carried & (bar["open"] >= target), "gap_target")
-            .when(bar["low"] <= stop, "stop")
-            .when(bar["high"] >= target, "target")
-            .when(i == hold - 1, "time")
-        )
-        price = (
-            F.when(carried & ((bar["open"] <= stop) | (bar["open"] >= target)), bar["open"])
-            .when(bar["low"] <= stop, stop)
-            .when(bar["high"] >= target, target)
-            .otherwise(bar["close"])
-        )
-        return F.struct(
-            (i + 1).alias("held"), bar["session"].alias("session"), reason.alias("reason"), price.alias("price")
-        )
-
-    judged = F.filter(F.transform(path, judge), lambda step: step["reason"].isNotNull())
-    return F.try_element_at(judged, F.lit(1))
+    stop, target = F.col("stop"), F.col("target")
+    start = F.try_element_at("path", F.lit(1))["pos"]
+    hits = F.filter("path", lambda b: (b["low"] <= stop) | (b["high"] >= target) | (b["pos"] == F.col("_last")))
+    first = F.try_element_at(hits, F.lit(1))
+    found = df.withColumn("_last", start + (hold - 1)).withColumn(
+        "_bar", first if entered is None else F.when(entered, first)
+    )
+    bar = F.col("_bar")
+    held = bar["pos"] - F.col("_last") + hold
+    carried = held > 1
+    reason = (
+        F.when(carried & (bar["open"] <= stop), "gap_stop")
+        .when(carried & (bar["open"] >= target), "gap_target")
+        .when(bar["low"] <= stop, "stop")
+        .when(bar["high"] >= target, "target")
+        .otherwise("time")
+    )
+    price = (
+        F.when(carried & ((bar["open"] <= stop) | (bar["open"] >= target)), bar["open"])
+        .when(bar["low"] <= stop, stop)
+        .when(bar["high"] >= target, target)
+        .otherwise(bar["close"])
+    )
+    exit_ = F.struct(held.alias("held"), bar["session"].alias("session"), reason.alias("reason"), price.alias("price"))
+    return found.withColumn(out, F.when(bar.isNotNull(), exit_)).drop("_bar", "_last")
 
 
 def full_window(path: Column, hold: int, end_exclusive: Column) -> Column:
@@ -56,9 +65,7 @@ def full_window(path: Column, hold: int, end_exclusive: Column) -> Column:
 def label_outcomes(entries: DataFrame, bars: DataFrame, hold: int = 21) -> DataFrame:
     """Entries (security, entry_session, stop, target) with their exit columns."""
     ahead = with_forward_path(bars, hold).select("security_id", F.col("session").alias("entry_session"), "path")
-    touched = entries.join(ahead, ["security_id", "entry_session"]).withColumn(
-        "exit", first_touch(F.col("path"), F.col("stop"), F.col("target"), hold)
-    )
+    touched = with_first_touch(entries.join(ahead, ["security_id", "entry_session"]), hold)
     return touched.select(
         *entries.columns,
         F.col("exit.session").alias("exit_session"),

@@ -48,11 +48,9 @@ def study_entries(bars: DataFrame, calendar: DataFrame, limits: E.Limits = E.Lim
 
 def study_outcomes(bars: DataFrame, calendar: DataFrame, limits: E.Limits = E.Limits()) -> DataFrame:
     """Entries with their first-touch exit; rejected entries keep a reason and no exit."""
-    hold = limits.hold_sessions
     entries = study_entries(bars, calendar, limits)
     ok = F.col("geometry_reason").isNull()
-    touched = F.when(ok, X.first_touch(F.col("path"), F.col("stop"), F.col("target"), hold))
-    return entries.withColumn("exit", touched).drop("path")
+    return X.with_first_touch(entries, limits.hold_sessions, "exit", ok).drop("path")
 
 
 def evaluate(bars: DataFrame, calendar: DataFrame, limits: E.Limits = E.Limits()) -> DataFrame:
