@@ -239,3 +239,8 @@ def manifest_status(spark, sf):
         F.when(name == "orders", F.reverse("sha256")).otherwise(F.col("sha256")).alias("sha256"),
     )
     return present(FI.manifest_status(manifest, inventory, "folder"))
+
+
+@q("archive_fingerprints")
+def archive_fingerprints(spark, sf):
+    return present(FI.folder_fingerprints(FI.file_inventory(spark, sf, "*.parquet")))

@@ -135,3 +135,27 @@ def stream_no_backfill(spark, sf):
         stream = spark.readStream.schema(rows.schema).parquet(inbox)
         runs.run_batches(stream, ledger.apply(kinds), checkpoint)
     return present(ledger.decisions())
+
+
+@q("forward_initial_books", """
+SELECT DISTINCT p_brand AS strategy_id, '1995-01-02' AS first_session, CAST(100000 AS DOUBLE) AS starting_equity, CAST(100000 AS DOUBLE) AS current_equity,
+  CAST(0 AS BIGINT) AS closed_trades, CAST(0 AS BIGINT) AS open_positions FROM part""")
+def forward_initial_books(spark, sf):
+    strategies = M.cohort_members(spark, sf).where("cohort = 'ALL'")
+    return present(FW.initial_books(strategies, M.CAPITAL, dt.date(1995, 1, 2)))
+
+
+@q("forward_open_positions", with_views("""
+SELECT strategy_id, candidate_id, security_id, CAST(entry_session AS VARCHAR) AS entry_session, quantity, CAST(entry_price AS DOUBLE) AS entry_price
+FROM v_trades WHERE entry_session <= DATE '1998-06-30' AND exit_session > DATE '1998-06-30'"""))
+def forward_open_positions(spark, sf):
+    held = FW.open_positions(M.trades(spark, sf), dt.date(1998, 6, 30))
+    return present(held.select("strategy_id", "candidate_id", "security_id", "entry_session", "quantity", "entry_price"))
+
+
+@q("forward_known_schedule", with_views("""
+SELECT security_id, event_id, CAST(event_session AS VARCHAR) AS event_session, CAST(known_session AS VARCHAR) AS known_session,
+  CAST(superseded_session AS VARCHAR) AS superseded_session
+FROM v_schedule WHERE known_session <= DATE '1998-06-30' AND DATE '1998-06-30' < coalesce(superseded_session, DATE '9999-12-31') AND event_session > DATE '1998-06-30'"""))
+def forward_known_schedule(spark, sf):
+    return present(FW.known_by(M.schedule(spark, sf), dt.date(1998, 6, 30)))

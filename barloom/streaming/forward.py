@@ -132,3 +132,19 @@ def missing_roster(roster: DataFrame, key: str = "security_id"):
         return per.where(F.coalesce("n", F.lit(0)) < needed).select("session")
 
     return check
+
+
+def known_by(schedule: DataFrame, session) -> DataFrame:
+    """Schedule rows a session may use: known by then, not superseded yet, still ahead."""
+    at = F.lit(session).cast("date")
+    return schedule.where(
+        (F.col("known_session") <= at)
+        & (F.col("superseded_session").isNull() | (at < F.col("superseded_session")))
+        & (F.col("event_session") > at)
+    )
+
+
+def open_positions(trades: DataFrame, session) -> DataFrame:
+    """Positions entered by a session and not closed by its end, ."""
+    at = F.lit(session).cast("date")
+    return trades.where((F.col("entry_session") <= at) & (F.col("exit_session") > at))

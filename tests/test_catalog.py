@@ -46,4 +46,4 @@ def test_query_matches_sql(spark, duck, name):
 def test_every_query_but_file_hashes_has_check_sql():
     import __spark_entry__ as entry
 
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"file_hashes", "manifest_status"}
+    assert set(entry.queries()) - set(entry.oracle_sql()) == {"archive_fingerprints", "file_hashes", "manifest_status"}
