@@ -145,6 +145,6 @@ def known_by(schedule: DataFrame, session) -> DataFrame:
 
 
 def open_positions(trades: DataFrame, session) -> DataFrame:
-    """Positions entered by a session and not closed by its end, ."""
+    """Positions entered by a session and not closed by its end."""
     at = F.lit(session).cast("date")
     return trades.where((F.col("entry_session") <= at) & (F.col("exit_session") > at))
