@@ -30,11 +30,15 @@ def local_session(cores: int | str = 8, app: str = "barloom") -> SparkSession:
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder for written intermediates and streaming checkpoints.
 
-    A cluster names its shared folder in ``spark.checkpoint.dir``; only where
-    that is unset (tests, one machine) is a folder of our own used.
+    A cluster names its shared folder in ``spark.checkpoint.dir``. Where that is
+    unset, a folder of our own serves a master on one machine; executors
+    elsewhere would not see it, so any other master is refused.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = os.path.join(tempfile.gettempdir(), "barloom-work")
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
