@@ -6,6 +6,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,12 @@ END_ID = 1
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 # Separators on which str.split() and the vocabulary's \s disagree or might: such texts are encoded whole.
 _ODD_SPACE = re.compile(r"[\x1c-\x1f\x85]")
-_LATIN_END = "\u0250"
-_KEPT = 300_000
+_LATIN_END = "ɐ"
+# Signs that form one piece of their own when they follow letters.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_PIECES_KEPT = 400_000
+_PARTS_KEPT = 600_000
+_BATCH_CHARS = 1 << 19
 
 
 def default_vocabulary() -> str:
@@ -33,53 +38,100 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Encoder(dict):
-    """Token ids of a text, by the ids of its pieces between white space.
+class Recent:
+    """Values by key; when full, only what is asked for again is kept on."""
+
+    def __init__(self, kept: int) -> None:
+        self.kept, self.now, self.old = kept, {}, {}
+
+    def missing(self, wanted: set) -> list:
+        """Keys without a value. All others of ``wanted`` are in ``now`` afterwards."""
+        new = wanted.difference(self.now)
+        if len(self.now) + len(new) > self.kept:
+            self.now, self.old, new = {}, self.now, wanted
+        out = []
+        for key in new:
+            value = self.old.get(key)
+            if value is None:
+                out.append(key)
+            else:
+                self.now[key] = value
+        return out
+
+
+class Encoder:
+    """Token ids of texts, by the ids of their pieces between white space.
 
     White space ends every token of this vocabulary, so a text's ids are those
     of its pieces, and most pieces recur. Latin pieces are looked up by their
-    own parts (letters, digit, signs), which recur more. Texts with unusual
+    own parts (letters, digit, signs), which recur more; parts not met before
+    are encoded together and told apart by the mark that ends a word. Texts with unusual
     separators go to the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.parts: dict[str, list[int]] = {}
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-
-    def _encode(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _part(self, part: str) -> list[int]:
-        found = self.parts.get(part)
-        if found is None:
-            if len(self.parts) >= _KEPT:
-                self.parts.clear()
-            found = self.parts[part] = self._encode(part)
-        return found
-
-    def __missing__(self, piece: str) -> list[int]:
-        if len(self) >= _KEPT:
-            self.clear()
-        if max(piece) < _LATIN_END:
-            plain = unicodedata.normalize("NFC", piece).lower()
-            ids = [i for part in _PIECES.findall(plain) for i in self._part(part)]
+        size = self.tokenizer.get_vocab_size()
+        self.kind = "<u2" if size <= 1 << 16 else "<u4"
+        self.ends = np.zeros(size, bool)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.ends[number] = token.endswith("</w>")
+        self.pieces, self.parts = Recent(_PIECES_KEPT), Recent(_PARTS_KEPT)
+
+    def _encode(self, text: str) -> np.ndarray:
+        done = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
+        return np.array(done.ids, self.kind)
+
+    def _learn_parts(self, wanted: set[str]) -> None:
+        new = self.parts.missing(wanted)
+        if not new:
+            return
+        ids = self._encode(" ".join(new))
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) == len(new):
+            raw, width, start = ids.tobytes(), ids.itemsize, 0
+            for part, stop in zip(new, (stops * width).tolist(), strict=True):
+                self.parts.now[part] = raw[start:stop]
+                start = stop
         else:
-            ids = self._encode(piece)
-        self[piece] = ids
-        return ids
-
-    def ids(self, text: str) -> list[int]:
-        if _ODD_SPACE.search(text):
-            return self._encode(text)
-        out: list[int] = []
-        for piece in text.split():
-            out += self[piece]
-        return out
+            for part in new:
+                self.parts.now[part] = self._encode(part).tobytes()
+
+    def _learn(self, wanted: set[str]) -> None:
+        split: dict[str, list[str]] = {}
+        for piece in self.pieces.missing(wanted):
+            if max(piece) >= _LATIN_END:
+                self.pieces.now[piece] = self._encode(piece).tobytes()
+                continue
+            plain = (piece if piece.isascii() else unicodedata.normalize("NFC", piece)).lower()
+            word = plain.rstrip(_SIGNS)
+            if word.isalpha():
+                split[piece] = [word, plain[len(word) :]] if len(word) < len(plain) else [word]
+            else:
+                split[piece] = _PIECES.findall(plain)
+        self._learn_parts({part for parts in split.values() for part in parts})
+        known = self.parts.now
+        for piece, parts in split.items():
+            self.pieces.now[piece] = b"".join([known[p] for p in parts])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian numbers of ``kind``."""
+        split = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
+        self._learn(set().union(*[pieces for pieces in split if pieces]))
+        known = self.pieces.now.__getitem__
+        return [
+            self._encode(text).tobytes() if pieces is None else b"".join(map(known, pieces))
+            for text, pieces in zip(texts, split, strict=True)
+        ]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for each Python worker: the next task goes on with the pieces met so far."""
+    return Encoder(path)
 
 
 TOKENS = pa.schema(
@@ -105,18 +157,34 @@ PIECES = pa.schema(
 )
 
 
+def _some(rows: Iterable[tuple]) -> Iterator[list[tuple]]:
+    """Rows a few at a time, by the length of their texts."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[1] or "")
+        if size >= _BATCH_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def token_table(docs: DataFrame, vocabulary: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text"):
     """First pass: each document's ids with the tokens before it in its partition, as a written table."""
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(vocabulary), TaskContext.get().partitionId()
+        coder, part = encoder(vocabulary), TaskContext.get().partitionId()
+        end = np.array([end_id], coder.kind).tobytes()
+        width = len(end)
 
         def rows():
             before = 0
-            for doc_id, text in rows_of(batches, "doc_id", "text"):
-                ids = np.array([*encoder.ids(text or ""), end_id], encoder.kind)
-                yield part, before, doc_id, len(ids), ids.tobytes()
-                before += len(ids)
+            for some in _some(rows_of(batches, "doc_id", "text")):
+                for (doc_id, _), ids in zip(some, coder.encode([t or "" for _, t in some]), strict=True):
+                    size = len(ids) // width + 1
+                    yield part, before, doc_id, size, ids + end
+                    before += size
 
         return in_batches(rows(), TOKENS, 1000)
 
