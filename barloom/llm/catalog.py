@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from barloom.llm import pii, quality_rules, secret_scan
+from barloom.llm.common import span_text
+from barloom.llm.decontamination import find_contamination
+from barloom.llm.licenses import find_licenses
 from barloom.llm.minhash import near_duplicates
 from barloom.llm.packing import pack
+from barloom.llm.sharding import kd_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -22,6 +27,115 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def count_of(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+
+def base_sha256(spans: str) -> Column:
+    return F.sha2(span_text(F.filter(spans, lambda s: s["base"])).cast("binary"), 256).alias("base_sha256")
+
+
+def labels_of(labels: Column) -> Column:
+    return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+
+@query
+def op1_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of nearly equal bytes."""
+    return kd_shards(table(spark, sf_dir, "documents"), shards=24).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op2_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside ten-word windows of benchmark items."""
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["stop"] - s["start"])
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ORACLE["op2_fm_index_decontamination"] = f"""
+WITH items AS (
+    SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, {_LETTERS}), '{_ALNUM}') AS w
+    FROM benchmark WHERE text IS NOT NULL
+), item_windows AS (
+    SELECT item, least(10, len(w)) AS size, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i, w FROM items WHERE len(w) > 0
+), windows AS (
+    SELECT DISTINCT item, size, list_aggregate(w[i : i + size - 1], 'string_agg', ' ') AS words FROM item_windows
+), docs AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '{_ALNUM}') AS w FROM documents
+), places AS (
+    SELECT d.doc_id, s.size, d.w, unnest(range(1, len(d.w) - s.size + 2)) AS i
+    FROM docs d JOIN (SELECT DISTINCT size FROM windows) s ON len(d.w) >= s.size
+), hits AS (
+    SELECT p.doc_id, p.i, p.size, x.item
+    FROM places p JOIN windows x ON x.size = p.size AND x.words = list_aggregate(p.w[p.i : p.i + p.size - 1], 'string_agg', ' ')
+), hit_words AS (
+    SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS k FROM hits) GROUP BY doc_id
+), hit_items AS (
+    SELECT doc_id, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(a.n, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(b.n, 0) AS BIGINT) AS n_items, sha256(coalesce(b.items, '')) AS items_sha256,
+       coalesce(a.n, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hit_words a USING (doc_id) LEFT JOIN hit_items b USING (doc_id)
+"""
+
+
+@query
+def op3_decision_list_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document under rules learned from the labels."""
+    docs = table(spark, sf_dir, "documents")
+    rules = quality_rules.learn(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.judge(docs, rules).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
+    )
+
+
+@query
+def op4_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document."""
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[count_of("spans", k) for k in secret_scan.KINDS], base_sha256("spans"),
+        span_text(F.col("spans")).alias("spans"),
+    )
+
+
+@query
+def op5_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    found = find_licenses(table(spark, sf_dir, "documents"))
+    words = F.transform("phrases", lambda p: p["word"])
+    exact, more = F.transform("phrases", lambda p: p["label"]), F.transform("notices", lambda n: n["label"])
+    like = F.array_max(F.concat(F.transform("notices", lambda n: n["likeness"]), F.transform("phrases", lambda _: F.lit(1.0))))
+    return found.select(
+        "doc_id", "n_words", F.size("phrases").cast("bigint").alias("n_base"),
+        F.array_min(words).alias("first_word"), F.array_max(words).alias("last_word"),
+        labels_of(exact).alias("base_labels"), labels_of(F.concat(exact, more)).alias("labels"),
+        F.coalesce(like, F.lit(0.0)).alias("score"),
+    )
+
+
+@query
+def op6_crf_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find_personal_data(docs, pii.train(pii.labelled_table(docs)))
+    return found.select(
+        "doc_id", *[count_of("spans", k) for k in pii.KINDS], base_sha256("spans"),
+        span_text(F.col("spans")).alias("spans"),
+    )
+
+
 @query
 def op8_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of 2048 tokens."""

@@ -67,13 +67,24 @@ def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix64(acc)
 
 
-def id_and_text(docs: DataFrame, id_col: str, text_col: str, text_type: str = "binary") -> DataFrame:
-    """Only the two columns an operator reads, under names of its own: other columns cannot clash."""
+def id_and_text(docs: DataFrame, id_col: str, text_col: str, text_type: str = "binary", carry: tuple[str, ...] = ()) -> DataFrame:
+    """The two columns an operator reads, under names of its own so that others cannot clash.
+
+    Columns to ``carry`` past a Python step go as one JSON text each row; see :func:`carried`.
+    """
+    rest = [F.to_json(F.struct(*[F.col(f"`{c}`") for c in carry])).alias("carry")] if carry else [F.lit(None).cast("string").alias("carry")]
     return docs.select(
-        F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast(text_type).alias("text")
+        F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast(text_type).alias("text"), *rest
     )
 
 
+def carried(docs: DataFrame, carry: tuple[str, ...]) -> list[Column]:
+    """The carried columns again, with their types."""
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
+    ddl = ", ".join(f"`{c}` {kinds[c].simpleString()}" for c in carry)
+    return [F.from_json("carry", ddl)[c].alias(c) for c in carry]
+
+
 def rows_of(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     """Rows of Arrow batches, converted a thousand at a time so that long texts are not all held twice."""
     for batch in batches:
