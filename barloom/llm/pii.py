@@ -150,8 +150,20 @@ def train(labelled: DataFrame, bound: int = LABELLED_STRETCHES) -> Crf:
     return Crf(tags).fit(chains, [list(r.tags) for r in rows])
 
 
+def plausible(kind: str, span: str) -> bool:
+    """What a span of the field must hold besides its shape: the checks that the exact kinds have."""
+    digits = _SIGN.sub("", span)
+    if kind == "email":
+        return "@" in span and "." in span.partition("@")[2]
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    if kind == "ip":
+        return bool(_IP.fullmatch(span)) and all(len(p) <= 3 and int(p) <= 255 for p in span.split("."))
+    return 7 <= len(digits) <= 15
+
+
 def field_spans(crf: Crf, texts: list[str], known: list[list[Span]]) -> list[list[Span]]:
-    """Spans on the best tag paths that no exact span touches and that hold enough: an ``@`` or seven digits."""
+    """Plausible spans on the best tag paths that no exact span touches."""
     where, chains, places = [], [], []
     for k, text in enumerate(texts):
         for low, high in stretches(text):
@@ -170,9 +182,7 @@ def field_spans(crf: Crf, texts: list[str], known: list[list[Span]]) -> list[lis
             while stop < len(tags) and tags[stop] == f"I-{kind}":
                 stop += 1
             a, b = found[at][1], found[stop - 1][2]
-            own = texts[k][a:b]
-            digits = sum(c.isdigit() for c in own)
-            enough = "@" in own if kind == "email" else 7 <= digits <= 19
+            enough = plausible(kind, texts[k][a:b])
             if enough and not any(s[1] < b and a < s[2] for s in known[k]):
                 out[k].append((f"crf_{kind}", a, b))
             at = stop
