@@ -88,10 +88,8 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int, id_col: str, te
     )
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, used: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets are at least ``percent`` alike."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    used = texts.join(wanted, "doc_id", "left_semi")
     sides = pairs.join(used.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(
         used.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b"
     )
@@ -160,38 +158,35 @@ def near_duplicates(
     shared = slots.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     buckets = persist_table(slots.join(shared, "key"), "buckets")
     weight = buckets.groupBy("node").agg(F.sum("n").alias("weight"))
+    weight = persist_table(weight, "weights")
     buckets = persist_table(buckets.join(weight, "node").select("key", "node", "weight"), "buckets")
-    texts = id_and_text(docs, id_col, text_col).filter("doc_id IS NOT NULL AND text IS NOT NULL").dropDuplicates(["doc_id"])
+    texts = id_and_text(docs, id_col, text_col).select("doc_id", "text").filter("text IS NOT NULL")
+    # One merge join at every size: only texts that share a bucket go further, and rounds read just those.
+    nodes = weight.select(F.col("node").alias("doc_id"))
+    texts = persist_table(texts.join(nodes.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
-    first = F.max_by("node", F.struct("weight", -F.col("node")))
-    centres = buckets.groupBy("key").agg(first.alias("centre"))
+    centres = buckets.groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("centre"))
     tried = persist_table(_star(buckets.join(centres, "key")), "pairs")
     links = persist_table(confirmed(tried, texts, width, percent), "confirmed")
     labels = components(links)
     while True:
-        # Buckets of several components: centres of the components that have not had one there.
-        marked = buckets.join(labels, "node", "left").select(
-            "key", "node", "weight", F.coalesce("label", "node").alias("label")
-        )
+        marked = buckets.join(labels, "node", "left").select("key", "node", "weight", F.coalesce("label", "node").alias("label"))
         mixed = marked.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1")
-        open_ = marked.join(mixed.select("key"), "key", "left_semi")
-        used = centres.join(labels, centres.centre == labels.node, "left").select(
-            "key", F.coalesce("label", "centre").alias("label")
-        )
-        fresh = open_.join(used.distinct(), ["key", "label"], "left_anti").groupBy("key").agg(
+        buckets = persist_table(marked.join(mixed.select("key"), "key", "left_semi"), "buckets")
+        used = centres.join(labels, centres.centre == labels.node, "left").select("key", F.coalesce("label", "centre").alias("label"))
+        fresh = buckets.join(used.distinct(), ["key", "label"], "left_anti").groupBy("key").agg(
             F.max_by(F.struct("node", "label"), F.struct("weight", -F.col("node"))).alias("c")
         )
         fresh = persist_table(fresh.select("key", F.col("c.node").alias("centre"), F.col("c.label").alias("own")), "centres")
-        more = _star(open_.join(fresh, "key").filter("label <> own")).join(tried, ["a", "b"], "left_anti")
+        more = _star(buckets.join(fresh, "key").filter("label <> own")).join(tried, ["a", "b"], "left_anti")
         more = persist_table(more, "pairs")
-        if more.isEmpty():
-            break
         found = persist_table(confirmed(more, texts, width, percent), "confirmed")
         if found.isEmpty():
             break
         tried, links = tried.union(more), links.union(found)
         centres = centres.union(fresh.select("key", "centre"))
         labels = components(links)
+        buckets = buckets.select("key", "node", "weight").join(fresh.select("key"), "key", "left_semi")
 
     members = classes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component"))
     placed = coded.select("doc_id", "n_shingles", "digest").join(members, "digest", "left")
