@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from barloom.llm import pii, quality_rules, secret_scan
 from barloom.llm.common import span_text
 from barloom.llm.decontamination import find_contamination
+from barloom.llm.html_extraction import main_texts
 from barloom.llm.licenses import find_licenses
 from barloom.llm.minhash import near_duplicates
 from barloom.llm.packing import pack
@@ -142,6 +143,12 @@ def op8_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
 
 
+@query
+def op9_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 @query
 def op10_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents over four-word shingles."""
