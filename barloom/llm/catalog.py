@@ -14,6 +14,7 @@ from barloom.llm.licenses import find_licenses
 from barloom.llm.minhash import near_duplicates
 from barloom.llm.packing import pack
 from barloom.llm.sharding import kd_shards
+from barloom.llm.substring_dedup import near_duplicate_passages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -137,6 +138,12 @@ def op6_crf_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that stand in several documents."""
+    return near_duplicate_passages(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of 2048 tokens."""
