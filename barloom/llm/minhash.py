@@ -186,7 +186,7 @@ def near_duplicates(
         tried, links = tried.union(more), links.union(found)
         centres = centres.union(fresh.select("key", "centre"))
         labels = components(links)
-        buckets = buckets.select("key", "node", "weight").join(fresh.select("key"), "key", "left_semi")
+        buckets = buckets.select("key", "node", "weight")
 
     members = classes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component"))
     placed = coded.select("doc_id", "n_shingles", "digest").join(members, "digest", "left")
