@@ -135,22 +135,25 @@ class MarkovModels:
         return let(_pairs(word), mean)
 
 
-def train(samples: DataFrame, smoothing: float = 0.5) -> MarkovModels:
+def train(samples: DataFrame, backoff: float = 8.0, spread: tuple[float, float] = (50.0, 0.5)) -> MarkovModels:
     """Transition counts of labelled samples (word, random): all of them, merged before each shuffle.
 
     The driver gets one count for each label and pair of characters, of which
-    there is a fixed number. Unseen transitions take the smoothed uniform
-    share, so without samples of a kind its model is uniform.
+    there is a fixed number. A transition's share leans on the share of its
+    second character with weight ``backoff``, and that on the uniform share
+    with weight ``spread`` (random, ordinary): a random string may use any
+    character, an identifier hardly one that identifiers do not use. Without
+    samples of a kind its model is uniform.
     """
     pairs = samples.filter("word IS NOT NULL AND random IS NOT NULL").select(F.col("random"), F.explode(_pairs(F.col("word"))).alias("pair"))
     counts = {(r["random"], r["pair"]): r["count"] for r in pairs.groupBy("random", "pair").count().collect()}
 
     def log_share(kind: bool) -> list[float]:
-        out = []
-        for a in range(CODES):
-            row = [counts.get((kind, a * CODES + b), 0) + smoothing for b in range(CODES)]
-            out += [math.log(x / sum(row)) for x in row]
-        return out
+        table = [[counts.get((kind, a * CODES + b), 0) for b in range(CODES)] for a in range(CODES)]
+        weight = spread[0] if kind else spread[1]
+        single = [sum(row[b] for row in table) + weight for b in range(CODES)]
+        share = [x / sum(single) for x in single]
+        return [math.log((x + backoff * share[b]) / (sum(row) + backoff)) for row in table for b, x in enumerate(row)]
 
     return MarkovModels([round(a - b, 6) for a, b in zip(log_share(True), log_share(False), strict=True)])
 
