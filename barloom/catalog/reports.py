@@ -101,8 +101,8 @@ _DOC = """'{"id":' || o_orderkey || ',"note":null,"tags":["a","' || o_orderstatu
 
 
 @q("nested_scalars", """
-SELECT o_orderkey, path, value FROM (SELECT o_orderkey, unnest(['id', 'tags', 'deep.x.y.kept', 'items[0].p', 'items[1].p', 'items[1].q']) AS path,
- unnest([CAST(o_orderkey AS VARCHAR), 'a, ' || o_orderstatus || ', ' || o_orderkey % 7, o_orderpriority, CAST(o_custkey AS VARCHAR), CAST(o_custkey + 1 AS VARCHAR), 'true']) AS value FROM orders)""")
+SELECT o_orderkey, path, value FROM (SELECT o_orderkey, unnest(['id', 'tags', 'deep.x.y.kept', 'deep.x.y.z', 'items[0].p', 'items[1].p', 'items[1].q']) AS path,
+ unnest([CAST(o_orderkey AS VARCHAR), 'a, ' || o_orderstatus || ', ' || o_orderkey % 7, o_orderpriority, '{"lost":1}', CAST(o_custkey AS VARCHAR), CAST(o_custkey + 1 AS VARCHAR), 'true']) AS value FROM orders)""")
 def nested_scalars(spark, sf):
     doc = F.expr(_DOC.replace("o_orderkey % 7", "(o_orderkey % 7)"))
     docs = M.table(spark, sf, "orders").select("o_orderkey", doc.alias("doc"))

@@ -7,7 +7,6 @@ calendar, however many prints stand behind it.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
@@ -16,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from barloom.functions.dates import month_start, week_end
 from barloom.operators.sessions import small
 
+# The vocabulary of features.
 TIMEFRAMES = ("daily", "weekly", "monthly")
 OPERATIONS = ("raw", "sma", "ema", "rolling_min", "rolling_max", "atr", "return")
 SOURCES = ("open", "high", "low", "close", "volume")
@@ -59,7 +59,7 @@ def true_range(high: Column, low: Column, close: Column, keys: Sequence, order:
     return F.greatest(high - low, F.abs(high - before), F.abs(low - before))
 
 
-SHORT_SPAN = 32
+EMA_BLOCK = 256
 
 
 def with_ema(
@@ -71,51 +71,36 @@ def with_ema(
     order: str,
     full_only: bool = True,
 ) -> DataFrame:
-    """Exponential average ``y = a*x + (1-a)*y_prev`` started at the first row.
-
-    Older values shrink by r = 1-a per row, so after 18*span rows their weight
-    is below double precision. Short spans fold the recursion over that many
-    trailing values; longer ones build the weighted sum from lags.
-    """
-    if span == 1:
-        return df.withColumn(out, value)
-    if span > SHORT_SPAN:
-        return _with_long_ema(df, value, span, out, keys, order, full_only)
-    alpha = 2.0 / (span + 1)
-    by_key = Window.partitionBy(*keys).orderBy(order)
-    tail = f"_{out}_tail"
-    df = df.withColumn(tail, F.collect_list(value).over(by_key.rowsBetween(-(18 * span - 1), 0)))
-    y = F.aggregate(tail, F.lit(None).cast("double"), lambda acc, x: F.coalesce(acc + alpha * (x - acc), x))
-    if full_only:
-        y = F.when(F.size(tail) >= span, y)
-    return df.withColumn(out, y).drop(tail)
-
-
-def _with_long_ema(
-    df: DataFrame, value: Column, span: int, out: str, keys: Sequence[str], order: str, full_only: bool
-) -> DataFrame:
-    """The same average as three passes of lags.
-
-    The weighted sum of trailing values is built over ``base`` rows, then over
-    ``base`` such sums, then once more, each step scaled by the matching power
-    of r. The number of lags grows with the cube root of the span.
+    """Exponential average ``y = a*x + (1-a)*y_prev`` started at the first value.
+
+    One form for every span, over the whole history: values are numbered and
+    cut into blocks of ``EMA_BLOCK``. Inside a block the average is a running sum
+    of values weighted by r = 1-a to their distance; what earlier blocks
+    contribute is folded from one sum per finished block. A null is no value: it
+    repeats the last average and does not age it. ``full_only`` hides the first
+    ``span - 1`` values.
     """
     alpha = 2.0 / (span + 1)
     r = 1.0 - alpha
-    base = math.ceil((18 * span) ** (1 / 3))
-    row = Window.partitionBy(*keys).orderBy(order)
-    first = F.lag(F.lit(1)).over(row).isNull()
-    part = f"_{out}_sum"
-    df = df.withColumn(part, F.when(first, value).otherwise(value * alpha))
-    for stride in (1, base, base * base):
-        total = F.col(part)
-        for i in range(1, base):
-            total = total + F.lag(part, i * stride, 0.0).over(row) * r ** (i * stride)
-        df = df.withColumn(part, total)
-    y = F.col(part)
-    if full_only:
-        y = F.when(F.lag(F.lit(1), span - 1).over(row).isNotNull(), y)
-    return df.withColumn(out, y).drop(part)
+    n, block, place, local, ends = (f"_{out}_{c}" for c in ("n", "block", "place", "local", "ends"))
+    by_key = Window.partitionBy(*keys).orderBy(order)
+    upto = by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = value.cast("double")
+    df = df.withColumn(n, F.count(x).over(upto))
+    df = df.withColumn(block, F.floor((F.col(n) - 1) / EMA_BLOCK)).withColumn(place, F.pmod(F.col(n) - 1, F.lit(EMA_BLOCK)))
+    if span == 1:
+        y = F.last(x, ignorenulls=True).over(upto)
+    else:
+        weighted = F.when(F.col(n) == 1, x).otherwise(x * alpha) * F.pow(F.lit(1 / r), F.col(place))
+        inside = Window.partitionBy(*keys, block).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        df = df.withColumn(local, F.sum(weighted).over(inside) * F.pow(F.lit(r), F.col(place)))
+        end = F.when(x.isNotNull() & (F.col(place) == EMA_BLOCK - 1), F.col(local))
+        df = df.withColumn(ends, F.collect_list(end).over(upto))
+        finished = F.slice(ends, F.lit(1), F.col(block).cast("int"))
+        carry = F.aggregate(finished, F.lit(0.0), lambda acc, s: acc * r**EMA_BLOCK + s)
+        y = F.col(local) + F.when(F.col(block) > 0, carry * F.pow(F.lit(r), F.col(place) + 1)).otherwise(0.0)
+    y = F.when(F.col(n) >= (span if full_only else 1), y)
+    return df.withColumn(out, y).drop(n, block, place, local, ends)
 
 
 def with_features(

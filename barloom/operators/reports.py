@@ -87,11 +87,11 @@ def ranked_entries(ranking: DataFrame, entries: str, names: DataFrame, key: str,
     return rows.withColumn("rank", F.col("_p") + 1).drop("_p").join(names, key, "left")
 
 
-def scalar_rows(docs: DataFrame, key: str, doc: str, depth: int = 4, width: int = 20) -> DataFrame:
+def scalar_rows(docs: DataFrame, key: str, doc: str, depth: int = 4) -> DataFrame:
     """Flatten JSON text to (path, value) rows.
 
-    Nulls are skipped, nesting below ``depth`` is dropped, lists of scalars are
-    joined, lists of objects are numbered and cut to ``width``.
+    Nulls are skipped, lists of scalars are joined, lists of objects are
+    numbered. What is nested below ``depth`` stays one row with its JSON text.
     """
     none = F.lit(None).cast("variant")
 
@@ -120,12 +120,12 @@ def scalar_rows(docs: DataFrame, key: str, doc: str, depth: int = 4, width: int
             lambda e: row(F.when(path == "", e["key"]).otherwise(F.concat(path, F.lit("."), e["key"])), inner=e["value"]),
         )
         numbered = F.transform(
-            F.slice("_items", 1, width),
+            F.col("_items"),
             lambda x, i: row(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), inner=x),
         )
         joined = F.array_join(F.expr("try_variant_get(v, '$', 'array<string>')"), ", ")
         text = F.when(F.col("_items").isNotNull(), joined).otherwise(F.expr("try_variant_get(v, '$', 'string')"))
-        deeper = F.array().cast("array<struct<path:string,value:string,v:variant>>") if step == depth else None
+        deeper = F.array(row(path, F.to_json("v"))) if step == depth else None
         children = (
             F.when(value.isNotNull(), F.array(row(path, value)))
             .when(F.col("v").isNull() | F.is_variant_null("v"), None)

@@ -8,6 +8,7 @@ add what earlier buckets contribute from one summary row per bucket.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -25,20 +26,19 @@ def bucketed_running(
     """
     b = "_bucket"
     rows = df.withColumn(b, bucket)
-    totals = rows.groupBy(*keys, b).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    inside = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    named = rows.select("*", *[c.alias(f"_s_{n}") for n, c in sums.items()])
+    local = named.select("*", *[F.sum(f"_s_{n}").over(inside).alias(f"_l_{n}") for n in sums])
+    # Bucket totals come from the same rows: both sides of the join read one exchange.
+    totals = local.groupBy(*keys, b).agg(*[F.sum(f"_s_{n}").alias(f"_t_{n}") for n in sums])
     before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys, b, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums]
+        *[F.col(k).alias(f"_k_{k}") for k in (*keys, b)],
+        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums],
     )
-    inside = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = rows.select("*", *[F.sum(c).over(inside).alias(f"_l_{n}") for n, c in sums.items()])
-    same = [local[k].eqNullSafe(offsets[k]) for k in (*keys, b)]
-    condition = same[0]
-    for part in same[1:]:
-        condition = condition & part
-    joined = local.join(offsets, condition)
-    return joined.select(
-        *[local[c] for c in df.columns], *[(F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums]
+    condition = reduce(lambda a, k: a & k, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in (*keys, b)])
+    return local.join(offsets, condition).select(
+        *df.columns, *[(F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums]
     )
 
 

@@ -77,14 +77,16 @@ def last_completed(instants: DataFrame, closes: DataFrame, instant: str = "ts")
         F.col("day").alias("_day"), F.col("prev_session").alias("session")
     )
     per_day = rolled.join(small(spans), "session")
-    keyed = instants.withColumn("_day", F.to_date(F.col(instant)))
+    newest = spans.agg(F.max("session").alias("_newest"))
+    keyed = instants.withColumn("_date", F.to_date(F.col(instant))).crossJoin(small(newest))
+    keyed = keyed.withColumn("_day", F.least("_date", "_newest"))
     return (
         keyed.join(small(per_day), "_day", "left")
         .withColumn(
             "completed_session",
             F.when(F.col("close_ts") <= F.col(instant), F.col("session")).otherwise(F.col("before")),
         )
-        .drop("_day", "session", "before", "close_ts")
+        .drop("_day", "_date", "_newest", "session", "before", "close_ts")
     )
 
 

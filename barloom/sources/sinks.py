@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -27,7 +29,7 @@ def write_bars(bars: DataFrame, report: DataFrame, last_completed: Column, path:
             fresh.select("security_id", "session"), ["security_id", "session"], "left_anti"
         )
         merged = out.unionByName(kept.select(out.columns))
-        staged = f"{path.rstrip('/')}.staged"
+        staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
         merged.write.mode("overwrite").partitionBy("year").parquet(staged)
         out = spark.read.schema(merged.schema).parquet(staged)
     (
@@ -46,11 +48,22 @@ def read_bars(spark: SparkSession, path: str, until: Column | None = None) -> Da
     return bars if until is None else bars.where(F.col("session") < until)
 
 
-def content_digest(df: DataFrame) -> tuple[int, int]:
+def row_digest(columns: list[str]) -> Column:
+    """SHA-256 of a row's JSON text; nulls are kept, so a value moved between columns changes it."""
+    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+
+
+def checksum(columns: list[str]) -> Column:
+    """Order-free sum of two halves of the rows' digests, as text."""
+    digest = row_digest(columns)
+    halves = [F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)")) for at in (1, 16)]
+    return F.concat_ws(":", *[F.coalesce(h, F.lit(0)).cast("string") for h in halves])
+
+
+def content_digest(df: DataFrame) -> tuple[int, str]:
     """Row count and an order-free checksum, computed by the executors."""
-    total = F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(total, F.lit(0)).alias("h")).first()
-    return int(row["n"]), int(row["h"])
+    row = df.agg(F.count(F.lit(1)).alias("n"), checksum(df.columns).alias("h")).first()
+    return int(row["n"]), row["h"]
 
 
 def publish_once(df: DataFrame, path: str) -> str:

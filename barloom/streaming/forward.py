@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from barloom.sources.sinks import checksum
 from barloom.sources.sinks import _exists
 
 CONTROL = "session date, digest string, records bigint, kinds int"
@@ -50,7 +51,7 @@ class ForwardLedger:
             batch.groupBy("session")
             .agg(
                 F.count(F.lit(1)).alias("records"),
-                F.sum(F.xxhash64(*batch.columns).cast("decimal(38,0)")).alias("checksum"),
+                checksum(batch.columns).alias("checksum"),
             )
             .join(self.calendar.select("session", "prev_session"), "session", "left")
             .orderBy("session")
