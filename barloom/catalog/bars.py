@@ -128,26 +128,22 @@ def sessions_in_range(spark, sf):
 SELECT o_orderkey, CAST(o_orderdate AS VARCHAR)[1:10] AS start_day, CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 AS INTEGER) AS VARCHAR) AS end_day,
        (SELECT max(ord) FROM v_calendar WHERE session <= CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 AS INTEGER))
      - (SELECT max(ord) FROM v_calendar WHERE session <= CAST(o_orderdate AS DATE)) AS distance
-FROM orders WHERE CAST(o_orderdate AS DATE) >= (SELECT min(session) FROM v_calendar)
-  AND CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 AS INTEGER) <= (SELECT max(session) FROM v_calendar)"""))
+FROM orders"""))
 def session_distance(spark, sf):
     orders = M.table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("start_day"))
     orders = orders.withColumn("end_day", F.date_add("start_day", (F.col("o_orderkey") % 40).cast("int")))
     cal = M.calendar(spark, sf)
-    return present(
-        S.session_distance(orders, cal, "start_day", "end_day", "distance").where(F.col("distance").isNotNull())
-    )
+    return present(S.session_distance(orders, cal, "start_day", "end_day", "distance"))
 
 
 @q("roll_to_session", with_views("""
 SELECT o_orderkey, CAST(d AS VARCHAR) AS day, CAST((SELECT min(session) FROM v_calendar WHERE session >= d) AS VARCHAR) AS next_session,
        CAST((SELECT max(session) FROM v_calendar WHERE session <= d) AS VARCHAR) AS prev_session
-FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)
-WHERE d BETWEEN (SELECT min(session) FROM v_calendar) AND (SELECT max(session) FROM v_calendar)"""))
+FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)"""))
 def roll_to_session(spark, sf):
     orders = M.table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
     roll = S.roll_table(M.calendar(spark, sf)).select("day", "next_session", "prev_session")
-    return present(orders.join(S.small(roll), "day"))
+    return present(orders.join(S.small(roll), "day", "left"))
 
 
 @q("last_completed", """

@@ -27,22 +27,40 @@ def with_views(body: str, recursive: bool = False, **local: str) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{body.strip()}" if ordered else body.strip()
 
 
+view("v_days", """
+SELECT d, isodow(d) AS w, month(d) AS m, day(d) AS k, year(d) AS y,
+       CAST(strftime(d, '%m%d') AS INTEGER) AS md, CAST(strftime(d - 1, '%m%d') AS INTEGER) AS before, CAST(strftime(d + 1, '%m%d') AS INTEGER) AS after
+FROM (SELECT CAST(unnest(generate_series(CAST(min(l_shipdate) AS DATE) - 7, CAST(max(l_shipdate) AS DATE) + 60, INTERVAL 1 DAY)) AS DATE) AS d FROM lineitem)""")
+
+view("v_easter", """
+SELECT y, make_date(y, 3, 22) + CAST(p + q - CASE WHEN q = 6 AND (p = 29 OR p = 28 AND y % 19 > 10) THEN 7 ELSE 0 END AS INTEGER) AS easter
+FROM (SELECT y, p, (2 * (y % 4) + 4 * (y % 7) + 6 * p + 5) % 7 AS q FROM (SELECT DISTINCT y, (19 * (y % 19) + 24) % 30 AS p FROM v_days))""")
+
+view("v_open_days", """
+SELECT d AS session FROM v_days JOIN v_easter USING (y)
+WHERE w <= 5 AND d <> easter - 2
+  AND NOT (md IN (101, 704, 1225) OR md = 619 AND y >= 2022)
+  AND NOT (w = 1 AND (before IN (101, 704, 1225) OR before = 619 AND y >= 2022))
+  AND NOT (w = 5 AND (after IN (704, 1225) OR after = 619 AND y >= 2022))
+  AND NOT (w = 1 AND (m = 1 AND y >= 1998 OR m = 2) AND (k - 1) // 7 = 2)
+  AND NOT (w = 1 AND (m = 5 AND k >= 25 OR m = 9 AND k <= 7))
+  AND NOT (w = 4 AND m = 11 AND (k - 1) // 7 = 3)""")
+
 view("v_lines", """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag, l_linestatus,
-       'S' || l_suppkey AS security_id, CAST(l_shipdate AS DATE) AS session,
+       'S' || l_suppkey AS security_id, o.session AS session,
        10000 + CAST(round(l_extendedprice * 100) AS BIGINT) // 10000 AS price_c,
        CAST(round(l_discount * 100) AS BIGINT) AS disc_c,
        CAST(round(l_tax * 100) AS BIGINT) AS tax_c,
        CAST(l_quantity AS BIGINT) AS qty
-FROM lineitem WHERE isodow(l_shipdate) <= 5""")
+FROM lineitem ASOF JOIN v_open_days o ON CAST(l_shipdate AS DATE) <= o.session""")
 
 view("v_calendar", """
-SELECT session, ord, lead(session) OVER (ORDER BY session) AS next_session,
+SELECT session, row_number() OVER (ORDER BY session) AS ord, lead(session) OVER (ORDER BY session) AS next_session,
        lag(session) OVER (ORDER BY session) AS prev_session,
        session + CAST((12 - isodow(session)) % 7 AS INTEGER) AS week_end,
        CAST(date_trunc('month', session) AS DATE) AS month
-FROM (SELECT session, row_number() OVER (ORDER BY session) AS ord
-      FROM (SELECT DISTINCT session FROM v_lines))""")
+FROM v_open_days""")
 
 view("v_bars", """
 SELECT security_id, session,

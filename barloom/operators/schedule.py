@@ -8,13 +8,14 @@ from barloom.operators.sessions import roll_table, small
 
 
 def _floor_ord(df: DataFrame, calendar: DataFrame, day: Column, out: str) -> DataFrame:
-    """Ordinal of the last session at or before ``day``; 0 before the calendar starts."""
+    """Ordinal of the last session at or before ``day``; 0 before the calendar starts, one past its end after it."""
     hi = calendar.agg(F.max("session")).scalar()
+    beyond = calendar.agg(F.max("ord") + 1).scalar()
     roll = roll_table(calendar).select(F.col("day").alias("_day"), F.col("floor_ord").alias(out))
     return (
-        df.withColumn("_day", F.least(day, hi))
+        df.withColumn("_day", day)
         .join(small(roll), "_day", "left")
-        .withColumn(out, F.coalesce(F.col(out), F.lit(0)))
+        .withColumn(out, F.when(F.col("_day") > hi, beyond).otherwise(F.coalesce(F.col(out), F.lit(0))))
         .drop("_day")
     )
 
@@ -26,7 +27,8 @@ def next_known_event(schedule: DataFrame, calendar: DataFrame) -> DataFrame:
     ``superseded_session`` (open if null). Each row is unfolded over the signal
     sessions it is valid for and that precede its event, then reduced with
     ``min``: no security's signals are paired with its events, and partial
-    aggregation shrinks repeated dates before the shuffle.
+    aggregation shrinks repeated dates before the shuffle. An event past the
+    calendar's end is still the next one, with an unknown (null) distance.
     """
     rows = _floor_ord(schedule, calendar, F.date_sub("known_session", 1), "_before_known")
     rows = _floor_ord(rows, calendar, F.col("event_session"), "_event_ord")
@@ -46,7 +48,9 @@ def next_known_event(schedule: DataFrame, calendar: DataFrame) -> DataFrame:
         "security_id",
         "signal_ord",
         F.col("e.event_session").alias("next_event"),
-        (F.col("e.event_ord") - F.col("signal_ord") - 1).alias("sessions_before"),
+        F.when(F.col("e.event_ord") <= calendar.agg(F.max("ord")).scalar(), F.col("e.event_ord") - F.col("signal_ord") - 1).alias(
+            "sessions_before"
+        ),
     )
 
 

@@ -7,7 +7,7 @@ fact tables, so joining it by broadcast is bounded by the length of history
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from barloom.functions.dates import month_start, week_end
 
@@ -27,6 +27,79 @@ def session_calendar(days: DataFrame, column: str = "session") -> DataFrame:
     )
 
 
+def _easter(day: Column) -> Column:
+    """Easter Sunday of the year of ``day``, 1900 to 2099."""
+    y = F.year(day)
+    a = y % 19
+    d = (19 * a + 24) % 30
+    e = (2 * (y % 4) + 4 * (y % 7) + 6 * d + 5) % 7
+    late = ((d == 29) & (e == 6)) | ((d == 28) & (e == 6) & (a > 10))
+    return F.date_add(F.make_date(y, F.lit(3), F.lit(22)), (d + e - F.when(late, 7).otherwise(0)).cast("int"))
+
+
+def is_session(day: Column) -> Column:
+    """Does a United States stock exchange open on this date? By the standing rules, 1900 to 2099.
+
+    Closed on weekends, New Year, Martin Luther King day (from 1998), Presidents'
+    day, Good Friday, Memorial day, Juneteenth (from 2022), Independence day,
+    Labor day, Thanksgiving and Christmas. A fixed holiday on a Sunday moves to
+    Monday, one on a Saturday to Friday (New Year does not). Closings by decree are not rules.
+    """
+    month, at, weekday = F.month(day), F.dayofmonth(day), F.weekday(day)
+
+    def fixed(m: int, d: int, on_friday: bool = True) -> Column:
+        out = (month == m) & (at == d)
+        out = out | ((weekday == 0) & (F.month(F.date_sub(day, 1)) == m) & (F.dayofmonth(F.date_sub(day, 1)) == d))
+        if on_friday:
+            out = out | ((weekday == 4) & (F.month(F.date_add(day, 1)) == m) & (F.dayofmonth(F.date_add(day, 1)) == d))
+        return out
+
+    def nth(m: int, which: int, n: int) -> Column:
+        return (month == m) & (weekday == which) & at.between(7 * n - 6, 7 * n)
+
+    closed = (
+        (weekday > 4)
+        | fixed(1, 1, on_friday=False)
+        | (nth(1, 0, 3) & (F.year(day) >= 1998))
+        | nth(2, 0, 3)
+        | ((weekday == 4) & month.between(3, 4) & (day == F.date_sub(_easter(day), 2)))
+        | ((month == 5) & (weekday == 0) & (at >= 25))
+        | (fixed(6, 19) & (F.year(day) >= 2022))
+        | fixed(7, 4)
+        | nth(9, 0, 1)
+        | nth(11, 3, 4)
+        | fixed(12, 25)
+    )
+    return ~closed
+
+
+def rolled_days(spark: SparkSession) -> DataFrame:
+    """Every civil date for which the rules hold, with the first session on or after it (73,049 rows, whatever the facts)."""
+    days = spark.range(1).select(F.explode(F.expr("sequence(DATE'1900-01-01', DATE'2099-12-31')")).alias("day"))
+    marked = days.withColumn("open", F.when(is_session(F.col("day")), F.col("day")))
+    ahead = Window.orderBy("day").rowsBetween(Window.currentRow, 4)
+    return marked.select("day", F.first("open", ignorenulls=True).over(ahead).alias("next_session"))
+
+
+def closes_early(day: Column) -> Column:
+    """Half days: the day after Thanksgiving, and the session on 3 July or 24 December."""
+    month, at, weekday = F.month(day), F.dayofmonth(day), F.weekday(day)
+    after = (month == 11) & (weekday == 4) & at.between(23, 29)
+    return is_session(day) & (after | ((month == 7) & (at == 3)) | ((month == 12) & (at == 24)))
+
+
+def close_instant(day: Column) -> Column:
+    """Closing time of a session as an instant: 16:00 New York, 13:00 on half days."""
+    clock = F.when(closes_early(day), F.lit(" 13:00:00")).otherwise(F.lit(" 16:00:00"))
+    return F.to_utc_timestamp(F.to_timestamp_ntz(F.concat(day.cast("string"), clock)).cast("timestamp"), "America/New_York")
+
+
+def exchange_calendar(bounds: DataFrame) -> DataFrame:
+    """Sessions by rule from the one row (first, last) of ``bounds``: dates do not depend on what was traded."""
+    days = bounds.select(F.explode(F.sequence("first", "last")).alias("session"))
+    return session_calendar(days.where(is_session(F.col("session"))))
+
+
 def small(calendar: DataFrame) -> DataFrame:
     """Broadcast mark for a calendar; see the bound in the module text."""
     return F.broadcast(calendar)

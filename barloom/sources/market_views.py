@@ -12,7 +12,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from barloom.operators.bars import bars_from_prints
-from barloom.operators.sessions import session_calendar, small
+from barloom.operators.sessions import exchange_calendar, rolled_days, small
 
 CAPITAL = 100_000
 TICK = ("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
@@ -42,11 +42,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekday order lines with integer price parts."""
-    day = F.to_date("l_shipdate")
+    """All order lines with integer price parts; what ships while the exchange is closed counts for the next session."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("day", F.to_date("l_shipdate"))
     return (
-        table(spark, sf_dir, "lineitem")
-        .where(F.dayofweek(day).between(2, 6))
+        lines.join(small(rolled_days(spark)), "day")
         .select(
             "l_orderkey",
             "l_linenumber",
@@ -56,7 +55,7 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             "l_returnflag",
             "l_linestatus",
             F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("security_id"),
-            day.alias("session"),
+            F.col("next_session").alias("session"),
             (10000 + F.floor(F.round(F.col("l_extendedprice") * 100) / 10000)).cast("long").alias("price_c"),
             F.round(F.col("l_discount") * 100).cast("long").alias("disc_c"),
             F.round(F.col("l_tax") * 100).cast("long").alias("tax_c"),
@@ -88,18 +87,17 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exchange sessions by rule from a week before the first print to 60 days after the newest."""
     day = F.to_date("l_shipdate")
-    weekdays = (
-        table(spark, sf_dir, "lineitem").select(day.alias("session")).where(F.dayofweek("session").between(2, 6))
-    )
-    return session_calendar(weekdays)
+    bounds = table(spark, sf_dir, "lineitem").agg(F.date_sub(F.min(day), 7).alias("first"), F.date_add(F.max(day), 60).alias("last"))
+    return exchange_calendar(bounds)
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order line as one signal of the strategy named by the part's brand.
 
     Signal on the ship session, entry on the next one, planned exit up to 20
-    sessions later; lines whose exit would leave the calendar are dropped.
+    sessions later. The calendar reaches past every planned exit.
     """
     cal = calendar(spark, sf_dir).select("session", "ord")
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type")
