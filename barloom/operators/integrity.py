@@ -117,19 +117,23 @@ def chain_violations(events: DataFrame, key: str, own_hash: Column) -> DataFrame
     """Broken links of a hash chain per key.
 
     Each event is joined to its predecessor by sequence number, so a chain of
-    any length is checked in parallel.
+    any length is checked in parallel. A number used more than once is a problem
+    of its own and does not multiply rows.
     """
-    before = events.select(key, (F.col("sequence") + 1).alias("sequence"), F.col("event_hash").alias("_before"))
-    linked = events.join(before, [key, "sequence"], "left")
+    numbers = events.groupBy(key, "sequence").agg(F.count(F.lit(1)).alias("_n"), F.collect_set("event_hash").alias("_hashes"))
+    before = numbers.select(key, (F.col("sequence") + 1).alias("sequence"), F.col("_hashes").alias("_before"))
+    linked = events.join(before, [key, "sequence"], "left").join(numbers.select(key, "sequence", "_n"), [key, "sequence"])
     first = F.col("sequence") == 1
     problems = F.array_compact(
         F.array(
             F.when(~first & F.col("_before").isNull(), "gap_before"),
             F.when(first & F.col("previous_hash").isNotNull(), "first_has_previous"),
             F.when(
-                F.col("_before").isNotNull() & ~F.col("previous_hash").eqNullSafe(F.col("_before")), "previous_mismatch"
+                F.col("_before").isNotNull() & ~F.coalesce(F.array_contains("_before", F.col("previous_hash")), F.lit(False)),
+                "previous_mismatch",
             ),
             F.when(F.col("event_hash") != own_hash, "hash_mismatch"),
+            F.when(F.col("_n") > 1, "duplicate_sequence"),
         )
     )
     return linked.select(key, "sequence", F.explode(problems).alias("problem"))

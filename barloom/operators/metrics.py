@@ -174,20 +174,24 @@ def yearly(trades: DataFrame, curve: DataFrame, capital: Column) -> DataFrame:
 
 
 def reconciliation(orders: DataFrame, trades: DataFrame, curve: DataFrame, capital: Column) -> DataFrame:
-    """Does the book add up? One row of booleans per strategy."""
+    """Does the book add up? One row of booleans per strategy; without trades or orders their sums are zero."""
     sums = trades.groupBy("strategy_id").agg(
         F.sum("gross_pnl").alias("pnl"), F.count(F.lit(1)).alias("trades")
     )
     ending = curve.groupBy("strategy_id").agg(F.max_by("equity", "session").alias("ending"))
     counts = order_counts(orders)
+
+    def or_zero(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(0))
+
     return (
         ending.join(sums, "strategy_id", "left")
         .join(counts, "strategy_id", "left")
         .select(
             "strategy_id",
-            (F.col("ending") == capital + F.col("pnl")).alias("ending_matches"),
-            (F.col("filled") == F.col("trades")).alias("fills_match"),
-            (F.col("orders") == F.col("filled") + F.col("rejected")).alias("orders_covered"),
+            (F.col("ending") == capital + or_zero("pnl")).alias("ending_matches"),
+            (or_zero("filled") == or_zero("trades")).alias("fills_match"),
+            (or_zero("orders") == or_zero("filled") + or_zero("rejected")).alias("orders_covered"),
         )
     )
 

@@ -100,6 +100,7 @@ def quality_report(rows: DataFrame, calendar: DataFrame, position: str) -> DataF
         return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
 
     c = F.col
+    # The texts of errors and warnings.
     errors = F.array_compact(
         F.array(
             F.when(c("nulls") > 0, text("NaN values on ", c("nulls"), " bar(s)")),

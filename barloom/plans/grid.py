@@ -18,18 +18,21 @@ CONTEXTS = (
     ("monthly", "ema", 6, "lt", "below"),
 )
 # (slug, operation, lookback)
+# Fixed values of the grid: (slug, operation, lookback).
 TRIGGERS = (
     ("close-cross-ema5", "ema", 5),
     ("close-cross-sma10", "sma", 10),
     ("return5-cross-zero", "return", 5),
 )
 # (slug, formula, fact, multiple)
+# Fixed values of the grid: stops by slug.
 STOPS = (
     ("atr14x1", "entry_minus_fact_multiple", "daily_atr14", 1.0),
     ("atr14x1p5", "entry_minus_fact_multiple", "daily_atr14", 1.5),
     ("rolling-low10", "fact_value", "daily_rolling_low10", 1.0),
     ("rolling-low20", "fact_value", "daily_rolling_low20", 1.0),
 )
+# Fixed values of the grid: targets by slug.
 TARGETS = (
     ("risk1p75", "entry_plus_risk_multiple", None, 1.75),
     ("risk2p5", "entry_plus_risk_multiple", None, 2.5),
@@ -38,6 +41,7 @@ TARGETS = (
 PRIORITY = "daily_return20"
 ADV_LOOKBACK = 20
 
+# Fixed values of the grid: the features that rules and levels read.
 FEATURES = (
     Feature("weekly_close", "weekly", "raw", "close", 1),
     Feature("weekly_ema13", "weekly", "ema", "close", 13),
