@@ -16,7 +16,7 @@ _ALNUM = bytes(
 )
 
 MASK64 = (1 << 64) - 1
-_WORDS_KEPT = 400_000
+_WORDS_KEPT = 250_000
 
 
 def alnum_words(text: bytes) -> list[bytes]:

@@ -27,8 +27,8 @@ _ODD_SPACE = re.compile(r"[\x1c-\x1f\x85]")
 _LATIN_END = "ɐ"
 # Signs that form one piece of their own when they follow letters.
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_PIECES_KEPT = 400_000
-_PARTS_KEPT = 600_000
+_PIECES_KEPT = 150_000
+_PARTS_KEPT = 250_000
 _BATCH_CHARS = 1 << 19
 
 
