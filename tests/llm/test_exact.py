@@ -21,7 +21,7 @@ from barloom.llm.html_extraction import extract, induce, simple_tree_matching
 from barloom.llm.html_tree import parse
 from barloom.llm.licenses import NOTICES, scanner
 from barloom.llm.packing import default_vocabulary, encoder
-from barloom.llm.substring_dedup import alike_stretches, compact_windows
+from barloom.llm.substring_dedup import alike_stretches, compact_windows, near_duplicate_passages
 
 SF = "/root/testdata/sf0.001"
 given_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="given tables not present")
@@ -188,6 +188,21 @@ def test_stretches_skip_what_differs():
     assert [x[:4] for x in alike_stretches(a, b, 5, 50, 80)] == [(0, 99, 0, 99), (130, 199, 130, 199)]
 
 
+def test_a_passage_behind_unrelated_smaller_ids_is_found(spark):
+    rng = np.random.default_rng(7)
+
+    def others(n):
+        return [f"w{k}" for k in rng.integers(0, 10**9, n)]
+
+    passage, rows = others(60), []
+    for k in range(45):  # every ninth word differs: shared shingles head the groups, no passage is alike
+        broken = [others(1)[0] if i % 9 == k % 9 else w for i, w in enumerate(passage)]
+        rows.append((k, " ".join(others(30) + broken + others(30))))
+    rows += [(k, " ".join(others(40) + passage + others(40))) for k in (100, 101)]
+    found = near_duplicate_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert [(r.doc_id, r.start_word, r.end_word, r.source_doc_id) for r in found] == [(101, 40, 100, 100)]
+
+
 def test_notices_with_edits():
     scan = scanner(NOTICES)
     assert [(m[2], m[3] < 1) for m in scan.matches(b"x licensed under teh apache licence version 2 0 y")] == [("apache-2", True)]
