@@ -188,6 +188,13 @@ def test_stretches_skip_what_differs():
     assert [x[:4] for x in alike_stretches(a, b, 5, 50, 80)] == [(0, 99, 0, 99), (130, 199, 130, 199)]
 
 
+def test_stretches_with_words_put_in_are_tested_whole():
+    whole = np.arange(1, 65, dtype=np.uint64)
+    b = np.concatenate([whole[:30], np.arange(900, 910, dtype=np.uint64), whole[34:]])
+    for one, two in ((whole, b), (b, whole)):
+        assert [(x, y, u, v) for x, y, u, v, _ in alike_stretches(one, two, 5, 50, 80)] == [(0, len(one) - 1, 0, len(two) - 1)]
+
+
 def test_a_passage_behind_unrelated_smaller_ids_is_found(spark):
     rng = np.random.default_rng(7)
 
