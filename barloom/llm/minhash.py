@@ -142,7 +142,9 @@ def near_duplicates(
     most buckets with others, which in a family of copies is their original.
     Links are confirmed on whole sets, then components are found. Buckets that
     still hold several components choose a centre of another component and are
-    tried again, until a round joins nothing new.
+    tried again, until a round joins nothing new. Then all pairs of classes of
+    different components that still share a bucket and were never compared are
+    confirmed at once, so that no pair in a bucket stays untried.
 
     One row per input row: ``doc_id``, ``n_shingles``, ``component_id``
     (smallest id reachable), ``kept``. Null and empty texts have no shingles
@@ -187,6 +189,10 @@ def near_duplicates(
         centres = centres.union(fresh.select("key", "centre"))
         labels = components(links)
         buckets = buckets.select("key", "node", "weight")
+    rest = persist_table(_across(buckets).join(tried.union(more), ["a", "b"], "left_anti"), "pairs")
+    found = persist_table(confirmed(rest, texts, width, percent), "confirmed")
+    if not found.isEmpty():
+        labels = components(links.union(found))
 
     members = classes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component"))
     placed = coded.select("doc_id", "n_shingles", "digest").join(members, "digest", "left")
@@ -200,3 +206,14 @@ def near_duplicates(
 def _star(rows: DataFrame) -> DataFrame:
     pairs = rows.filter("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
     return pairs.distinct()
+
+
+def _across(buckets: DataFrame) -> DataFrame:
+    """All pairs of nodes of different labels in one bucket; a large bucket is dealt out in blocks."""
+    sizes = buckets.groupBy("key").agg(F.expr("(count(*) + 499) div 500").alias("blocks"))
+    dealt = buckets.select("key", "node", "label").join(sizes, "key")
+    right = dealt.select(
+        "key", F.col("node").alias("b"), F.col("label").alias("other"), F.expr("pmod(xxhash64(node), blocks)").alias("block")
+    )
+    left = dealt.select("key", F.col("node").alias("a"), "label", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"))
+    return left.join(right.hint("merge"), ["key", "block"]).filter("a < b AND label <> other").select("a", "b").distinct()

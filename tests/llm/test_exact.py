@@ -20,6 +20,7 @@ from barloom.llm.fm_index import FMIndex
 from barloom.llm.html_extraction import extract, induce, simple_tree_matching
 from barloom.llm.html_tree import parse
 from barloom.llm.licenses import NOTICES, scanner
+from barloom.llm.minhash import Sketcher, near_duplicates
 from barloom.llm.packing import default_vocabulary, encoder
 from barloom.llm.substring_dedup import alike_stretches, compact_windows, near_duplicate_passages
 
@@ -210,6 +211,21 @@ def test_a_passage_behind_unrelated_smaller_ids_is_found(spark):
     assert [(r.doc_id, r.start_word, r.end_word, r.source_doc_id) for r in found] == [(101, 40, 100, 100)]
 
 
+def test_links_between_classes_that_never_were_centre_are_found(spark):
+    rng, sketcher = np.random.default_rng(11), Sketcher(5, 1, 1)
+
+    def others(n):
+        return " ".join(f"w{k}" for k in rng.integers(0, 10**9, n))
+
+    # One bucket for all: the phrase has the smallest hash of each text.
+    phrase = min((others(5) for _ in range(20_000)), key=lambda t: sketcher.shingles(t.encode())[0])
+    alike = others(60)
+    texts = [others(30), others(30), f"{alike} y", f"{alike} z"]
+    docs = spark.createDataFrame([(k, f"{phrase} {t}") for k, t in enumerate(texts, 1)], "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, bands=1, rows=1).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 3}
+
+
 def test_notices_with_edits():
     scan = scanner(NOTICES)
     assert [(m[2], m[3] < 1) for m in scan.matches(b"x licensed under teh apache licence version 2 0 y")] == [("apache-2", True)]
