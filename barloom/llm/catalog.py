@@ -9,12 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from barloom.llm import pii, quality_rules, secret_scan
 from barloom.llm.common import span_text
 from barloom.llm.decontamination import find_contamination
+from barloom.llm.hard_negatives import hard_negatives
 from barloom.llm.html_extraction import main_texts
 from barloom.llm.licenses import find_licenses
+from barloom.llm.merkle import manifest
 from barloom.llm.minhash import near_duplicates
 from barloom.llm.packing import pack
 from barloom.llm.sharding import kd_shards
 from barloom.llm.substring_dedup import near_duplicate_passages
+from barloom.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -160,3 +163,116 @@ def op9_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents over four-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
+@query
+def op11_rotated_code_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; every seventh label is moved by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
+ORACLE["op11_rotated_code_hard_negatives"] = """
+WITH vectors AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+), scores AS (
+    SELECT a.vec_id AS anchor, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+    FROM vectors a JOIN vectors b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+    SELECT * FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5
+)
+SELECT p.anchor AS anchor_id, p.other AS positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY n.score DESC, n.other) AS INTEGER) AS rank,
+       n.other AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scores n ON n.anchor = p.anchor AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+QUALIFY rank <= 5
+"""
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query
+def op12_postorder_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document; a fifth of them is folded with its text lower-cased."""
+    return manifest(
+        table(spark, sf_dir, "documents"),
+        ("doc_id", "source", "lang", "n_chars", "text"),
+        altered={"text": F.translate("text", _UPPER, _LOWER)},
+        when=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0,
+        with_proof=False,
+    ).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", "leaf_index", "log_position")
+
+
+def _merkle_sql(document_levels: int = 6, source_levels: int = 3) -> str:
+    """All levels spelled out: 16^6 documents of a source, 16^3 sources."""
+
+    def levels(name: str, start: str, n: int) -> str:
+        out = [f"{name}_0 AS ({start})"]
+        for k in range(n + 1):
+            # A run's digests in one text; a tree of one node stays as it is.
+            out.append(
+                f"{name}_runs_{k} AS (SELECT tree, i // 16 AS i, string_agg(d, '' ORDER BY i) AS run, any_value(n) AS n "
+                f"FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {name}_{k}) GROUP BY tree, i // 16)"
+            )
+            if k < n:
+                out.append(f"{name}_{k + 1} AS (SELECT tree, i, CASE WHEN n = 1 THEN run ELSE sha256(run) END AS d FROM {name}_runs_{k})")
+        return ",\n".join(out)
+
+    def climb(name: str, walk: str, tree: str, start: str, n: int) -> str:
+        out = [f"{walk}_0 AS ({start})"]
+        for k in range(n):
+            left = f"CASE WHEN r.n = 1 THEN '' ELSE substr(r.run, 1, CAST(64 * (w.i % 16) AS BIGINT)) END"
+            right = f"CASE WHEN r.n = 1 THEN '' ELSE substr(r.run, CAST(64 * (w.i % 16) + 65 AS BIGINT)) END"
+            out.append(
+                f"{walk}_{k + 1} AS (SELECT w.* REPLACE (w.i // 16 AS i, proof || {left} || {right} AS proof, "
+                f"CASE WHEN r.n = 1 THEN node ELSE sha256({left} || node || {right}) END AS node) "
+                f"FROM {walk}_{k} w JOIN {name}_runs_{k} r ON r.tree = {tree} AND r.i = w.i // 16)"
+            )
+        return ",\n".join(out)
+
+    text = lambda c: f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda t: "sha256(" + " || ".join(map(text, ("doc_id", "source", "lang", "n_chars", t))) + ")"
+    position = " + ".join(["rn"] + [f"CASE WHEN n > {16 ** (k - 1)} THEN rn // {16**k} ELSE 0 END" for k in range(1, document_levels + 1)])
+    return f"""
+WITH RECURSIVE table_steps(i, k, v) AS (
+    SELECT i, 0, i FROM range(256) t(i)
+    UNION ALL
+    SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM table_steps WHERE k < 8
+), crc_table AS (SELECT list(v ORDER BY i) AS tab FROM table_steps WHERE k = 8),
+documents_crc AS (
+    SELECT d.*, coalesce('=' || source, '') AS tree,
+           xor(4294967295, list_reduce(
+               list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+               lambda a, b: xor(a >> 8, tab[1 + (xor(a, b) & 255)]))) AS crc
+    FROM documents d, crc_table
+), leaves AS (
+    SELECT doc_id, tree, {leaf("text")} AS leaf,
+           CASE WHEN crc % 5 = 0 THEN {leaf(f"translate(text, '{_UPPER}', '{_LOWER}')")} END AS other
+    FROM documents_crc
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rn, count(*) OVER (PARTITION BY tree) AS n
+    FROM leaves
+),
+{levels("doc", "SELECT tree, rn AS i, leaf AS d FROM placed", document_levels)},
+subroots AS (SELECT tree, row_number() OVER (ORDER BY encode(tree)) - 1 AS i, d FROM doc_{document_levels}),
+{levels("src", "SELECT 0 AS tree, i, d FROM subroots", source_levels)},
+{climb("doc", "low", "w.tree", "SELECT *, rn AS i, '' AS proof, coalesce(other, leaf) AS node FROM placed", document_levels)},
+{climb("src", "high", "0", f"SELECT w.* REPLACE (s.i AS i), s.d AS subroot FROM low_{document_levels} w JOIN subroots s USING (tree)", source_levels)}
+SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = d AS verified,
+       rn AS leaf_index, CAST({position} AS BIGINT) AS log_position
+FROM high_{source_levels}, src_{source_levels} AS top
+"""
+
+
+ORACLE["op12_postorder_merkle_manifest"] = _merkle_sql()
+
+
+@query
+def op13_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    return token_counts(table(spark, sf_dir, "documents"))
