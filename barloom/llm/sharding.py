@@ -1,10 +1,10 @@
 """K-d tree shards: recursive splits at weighted medians of the widest metadata dimension."""
 
 from __future__ import annotations
-
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from barloom.llm.common import let
 from barloom.session import persist_table
@@ -56,6 +56,13 @@ def metadata(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 DIMENSIONS = ("d_size", "d_source", "d_lang", "d_id")
 
 
+def _written_out(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A few rows as one literal of the plan, at most one per shard, without a Python source."""
+    names = [c.split()[0] for c in columns.split(", ")]
+    text = json.dumps([dict(zip(names, row, strict=True)) for row in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{columns.replace(' ', ':').replace(',:', ',')}>>")))
+
+
 def _at(rows: DataFrame, splits: list[list[Split]]) -> DataFrame:
     """``node`` of each row: one lookup a level in the splits of that level, at most one row per shard."""
     spark = rows.sparkSession
@@ -64,8 +71,8 @@ def _at(rows: DataFrame, splits: list[list[Split]]) -> DataFrame:
         if not level:
             continue
         names = sorted({s.dimension for s in level})
-        table = spark.createDataFrame(
-            [(s.node, names.index(s.dimension), *s.key) for s in level], "s_node bigint, s_dim int, s0 bigint, s1 bigint, s2 bigint"
+        table = _written_out(
+            spark, [(s.node, names.index(s.dimension), *s.key) for s in level], "s_node bigint, s_dim int, s0 bigint, s1 bigint, s2 bigint"
         )
         value = F.coalesce(*[F.when(F.col("s_dim") == k, F.col(n)) for k, n in enumerate(names)])
         own = F.struct(value.alias("a"), F.col("text_crc32").alias("b"), F.col("d_id").alias("c"))
@@ -93,29 +100,31 @@ def _cuts(rows: DataFrame, wanted: dict[int, tuple[str, float]], slack: int) ->
     most = (1 << 62,)
     while len(done) < len(wanted):
         active = [n for n in wanted if n not in done]
-
-        def pick(make, active=active):
-            out = None
-            for n in active:
-                out = F.when(F.col("node") == n, make(n)) if out is None else out.when(F.col("node") == n, make(n))
-            return out
-
-        inside = pick(lambda n: _same(parts[n], fixed[n], bounds.get(n)))
-        value = pick(lambda n: F.col(parts[n][len(fixed[n])]))
-        held = rows.filter(inside).select("node", "size", value.alias("v"))
+        guide = []
+        for n in active:
+            lo, hi = bounds.get(n, (None, None))
+            step = None if lo is None else (hi - lo) // BUCKETS + 1
+            at = [*fixed[n], None, None][:2]
+            guide.append((n, DIMENSIONS.index(parts[n][0]), len(fixed[n]), *at, lo, hi, step, float(target[n])))
+        table = _written_out(
+            rows.sparkSession, guide, "g_node bigint, dim int, depth int, f0 bigint, f1 bigint, lo bigint, hi bigint, step bigint, goal double"
+        )
+        own = F.coalesce(*[F.when(F.col("dim") == k, F.col(d)) for k, d in enumerate(DIMENSIONS)])
+        value = F.when(F.col("depth") == 0, own).when(F.col("depth") == 1, F.col("text_crc32")).otherwise(F.col("d_id"))
+        inside = (F.col("f0").isNull() | (own == F.col("f0"))) & (F.col("f1").isNull() | (F.col("text_crc32") == F.col("f1")))
+        inside &= F.col("lo").isNull() | value.between(F.col("lo"), F.col("hi"))
+        led = rows.join(F.broadcast(table), F.col("node") == F.col("g_node")).filter(inside)
+        held = led.select("node", "size", value.alias("v"), F.col("lo").alias("low"), "step", "goal")
         if any(n not in bounds for n in active):
             for r in held.groupBy("node").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect():
                 bounds.setdefault(r.node, (r.lo, r.hi))
             continue
-        low = pick(lambda n: F.lit(bounds[n][0]).cast("bigint"))
-        step = pick(lambda n: F.lit((bounds[n][1] - bounds[n][0]) // BUCKETS + 1).cast("bigint"))
-        counted = held.groupBy("node", F.floor((F.col("v") - low) / step).cast("int").alias("bucket")).agg(
+        counted = held.groupBy("node", "goal", F.floor((F.col("v") - F.col("low")) / F.col("step")).cast("int").alias("bucket")).agg(
             F.sum("size").alias("bytes"), F.min("v").alias("lo"), F.max("v").alias("hi")
         )
         upto = Window.partitionBy("node").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         summed = counted.withColumn("upto", F.sum("bytes").over(upto))
-        goal = pick(lambda n: F.lit(float(target[n])))
-        first = summed.withColumn("over", F.col("upto") >= goal).filter("over").groupBy("node").agg(
+        first = summed.withColumn("over", F.col("upto") >= F.col("goal")).filter("over").groupBy("node").agg(
             F.min_by(F.struct("bytes", "lo", "hi", "upto"), "bucket").alias("b")
         )
         for r in first.collect():
@@ -138,15 +147,6 @@ def _cuts(rows: DataFrame, wanted: dict[int, tuple[str, float]], slack: int) ->
     return done
 
 
-def _same(names: list[str], fixed: list[int], bound: tuple[int, int] | None) -> Column:
-    out = F.lit(True)
-    for name, value in zip(names, fixed, strict=False):
-        out = out & (F.col(name) == F.lit(value))
-    if bound is not None:
-        out = out & F.col(names[len(fixed)]).between(F.lit(bound[0]), F.lit(bound[1]))
-    return out
-
-
 def kd_shards(
     docs: DataFrame,
     shards: int | None = None,
@@ -203,7 +203,7 @@ def kd_shards(
             n = leaves.pop(k)
             leaves[2 * k], leaves[2 * k + 1] = n // 2, n - n // 2
     order = sorted(leaves, key=lambda k: bin(k)[2:])
-    numbers = docs.sparkSession.createDataFrame([(k, i) for i, k in enumerate(order)], "leaf bigint, shard int")
+    numbers = _written_out(docs.sparkSession, [(k, i) for i, k in enumerate(order)], "leaf bigint, shard int")
     sharded = _at(table, splits).join(F.broadcast(numbers), F.col("node") == F.col("leaf"))
     return _with_slots(sharded.select("doc_id", "size", "text_crc32", "d_id", "shard"), count)
 
