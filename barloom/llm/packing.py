@@ -21,14 +21,11 @@ SEQUENCE = 2048
 END_ID = 1
 
 # Fixed value: the split pattern stated in the vocabulary file.
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 # Separators on which str.split() and the vocabulary's \s disagree or might: such texts are encoded whole.
 _ODD_SPACE = re.compile(r"[\x1c-\x1f\x85]")
-_LATIN_END = "ɐ"
-# Signs that form one piece of their own when they follow letters.
-_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_PIECES_KEPT = 150_000
-_PARTS_KEPT = 250_000
+_BEYOND_LATIN = re.compile("[\u0250-\U0010ffff]")
+_PARTS_KEPT = 200_000
 _BATCH_CHARS = 1 << 19
 
 
@@ -38,35 +35,44 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Recent:
-    """Values by key; when full, only what is asked for again is kept on."""
+def _latin_parts() -> re.Pattern:
+    """The split pattern for texts below U+0250, its classes written out character by character."""
+    latin = [chr(c) for c in range(0x250)]
+    letters = re.escape("".join(filter(regex.compile(r"\p{L}").match, latin)))
+    digits = re.escape("".join(filter(regex.compile(r"\p{N}").match, latin)))
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^\\s{letters}{digits}]+")
 
-    def __init__(self, kept: int) -> None:
-        self.kept, self.now, self.old = kept, {}, {}
 
-    def missing(self, wanted: set) -> list:
-        """Keys without a value. All others of ``wanted`` are in ``now`` afterwards."""
-        new = wanted.difference(self.now)
-        if len(self.now) + len(new) > self.kept:
-            self.now, self.old, new = {}, self.now, wanted
-        out = []
-        for key in new:
-            value = self.old.get(key)
-            if value is None:
-                out.append(key)
-            else:
-                self.now[key] = value
-        return out
+class Known(dict):
+    """Ids of parts. A part without any is noted in ``new`` and stands for nothing until it is learned.
+
+    When full, only parts asked for again are kept on.
+    """
+
+    def __init__(self) -> None:
+        self.old: dict[str, bytes] = {}
+        self.new: set[str] = set()
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.old.get(part)
+        if ids is None:
+            self.new.add(part)
+            return b""
+        self[part] = ids
+        return ids
+
+    def turn(self) -> None:
+        self.old = dict(self)
+        self.clear()
 
 
 class Encoder:
-    """Token ids of texts, by the ids of their pieces between white space.
+    """Token ids of texts, by the ids of their parts: runs of letters, digits, runs of signs.
 
-    White space ends every token of this vocabulary, so a text's ids are those
-    of its pieces, and most pieces recur. Latin pieces are looked up by their
-    own parts (letters, digit, signs), which recur more; parts not met before
-    are encoded together and told apart by the mark that ends a word. Texts with unusual
-    separators go to the tokenizer whole.
+    White space ends every token of this vocabulary and merges never leave a part, so a text's ids are
+    those of its parts, and most parts recur. Parts not met before are encoded together and told apart by
+    the mark that ends a word. In texts with characters beyond Latin, pieces between white space that hold one are
+    encoded by themselves. Texts with unusual separators go to the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -79,58 +85,70 @@ class Encoder:
         self.ends = np.zeros(size, bool)
         for token, number in self.tokenizer.get_vocab().items():
             self.ends[number] = token.endswith("</w>")
-        self.pieces, self.parts = Recent(_PIECES_KEPT), Recent(_PARTS_KEPT)
+        self.split = _latin_parts().findall
+        self.known = Known()
 
     def _encode(self, text: str) -> np.ndarray:
         done = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
         return np.array(done.ids, self.kind)
 
-    def _learn_parts(self, wanted: set[str]) -> None:
-        new = self.parts.missing(wanted)
-        if not new:
-            return
-        ids = self._encode(" ".join(new))
+    def _learn(self, new: list[str]) -> None:
+        text = " ".join(new)
+        if _BEYOND_LATIN.search(text):
+            for part in filter(_BEYOND_LATIN.search, new):
+                self.known[part] = self._encode(part).tobytes()
+            new = [part for part in new if part not in self.known]
+            text = " ".join(new)
+        ids = self._encode(text)
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) == len(new):
             raw, width, start = ids.tobytes(), ids.itemsize, 0
             for part, stop in zip(new, (stops * width).tolist(), strict=True):
-                self.parts.now[part] = raw[start:stop]
+                self.known[part] = raw[start:stop]
                 start = stop
         else:
             for part in new:
-                self.parts.now[part] = self._encode(part).tobytes()
-
-    def _learn(self, wanted: set[str]) -> None:
-        split: dict[str, list[str]] = {}
-        for piece in self.pieces.missing(wanted):
-            if max(piece) >= _LATIN_END:
-                self.pieces.now[piece] = self._encode(piece).tobytes()
-                continue
-            plain = (piece if piece.isascii() else unicodedata.normalize("NFC", piece)).lower()
-            word = plain.rstrip(_SIGNS)
-            if word.isalpha():
-                split[piece] = [word, plain[len(word) :]] if len(word) < len(plain) else [word]
+                self.known[part] = self._encode(part).tobytes()
+
+    def _parts(self, text: str) -> list[str]:
+        if not _BEYOND_LATIN.search(text):
+            plain = text if text.isascii() else unicodedata.normalize("NFC", text)
+            return self.split(plain.lower())
+        parts = []
+        for piece in text.split():
+            if _BEYOND_LATIN.search(piece):
+                parts.append(piece)
             else:
-                split[piece] = _PIECES.findall(plain)
-        self._learn_parts({part for parts in split.values() for part in parts})
-        known = self.parts.now
-        for piece, parts in split.items():
-            self.pieces.now[piece] = b"".join([known[p] for p in parts])
+                parts += self.split(unicodedata.normalize("NFC", piece).lower())
+        return parts
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian numbers of ``kind``."""
-        split = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
-        self._learn(set().union(*[pieces for pieces in split if pieces]))
-        known = self.pieces.now.__getitem__
-        return [
-            self._encode(text).tobytes() if pieces is None else b"".join(map(known, pieces))
-            for text, pieces in zip(texts, split, strict=True)
-        ]
+        """The ids of each text as little-endian numbers of ``kind``; parts not met before wait and are learned together."""
+        known = self.known
+        if len(known) > _PARTS_KEPT:
+            known.turn()
+        out: list[bytes] = []
+        waiting: list[tuple[int, list[str]]] = []
+        of = known.__getitem__
+        for k, text in enumerate(texts):
+            if _ODD_SPACE.search(text):
+                out.append(self._encode(text).tobytes())
+                continue
+            parts, before = self._parts(text), len(known.new)
+            out.append(b"".join(map(of, parts)))
+            if len(known.new) > before or not known.new.isdisjoint(parts):
+                waiting.append((k, parts))
+        if waiting:
+            self._learn(list(known.new))
+            known.new.clear()
+            for k, parts in waiting:
+                out[k] = b"".join(map(of, parts))
+        return out
 
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """One for each Python worker: the next task goes on with the pieces met so far."""
+    """One for each Python worker: the next task goes on with the parts met so far."""
     return Encoder(path)
 
 
