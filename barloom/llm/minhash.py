@@ -142,9 +142,12 @@ def near_duplicates(
     most buckets with others, which in a family of copies is their original.
     Links are confirmed on whole sets, then components are found. Buckets that
     still hold several components choose a centre of another component and are
-    tried again, until a round joins nothing new. Then all pairs of classes of
-    different components that still share a bucket and were never compared are
-    confirmed at once, so that no pair in a bucket stays untried.
+    tried again, until a round joins nothing new. Classes of buckets that are
+    still mixed are then paired by rare shingles: with the shingles of each set in
+    the order of their number of sets, two sets alike enough share one of the first
+    ``n - ceil(percent / 100 * n) + 1``. Passages common to many sets come last in that
+    order, so families that share less than the threshold make no pairs. Sets whose
+    sizes alone rule a link out are never compared.
 
     One row per input row: ``doc_id``, ``n_shingles``, ``component_id``
     (smallest id reachable), ``kept``. Null and empty texts have no shingles
@@ -155,32 +158,35 @@ def near_duplicates(
     coded = persist_table(sketches(docs, width, bands, rows, id_col, text_col), "sketches")
     named = coded.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = named.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    banded = named.join(classes, "digest").filter("doc_id = node").select("node", "bands").dropDuplicates(["node"])
-    slots = banded.select("node", F.explode("bands").alias("key"))
+    banded = named.join(classes, "digest").filter("doc_id = node").select("node", F.col("n_shingles").alias("size"), "bands").dropDuplicates(["node"])
+    slots = banded.select("node", "size", F.explode("bands").alias("key"))
     shared = slots.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     buckets = persist_table(slots.join(shared, "key"), "buckets")
     weight = buckets.groupBy("node").agg(F.sum("n").alias("weight"))
     weight = persist_table(weight, "weights")
-    buckets = persist_table(buckets.join(weight, "node").select("key", "node", "weight"), "buckets")
+    buckets = persist_table(buckets.join(weight, "node").select("key", "node", "size", "weight"), "buckets")
     texts = id_and_text(docs, id_col, text_col).select("doc_id", "text").filter("text IS NOT NULL")
     # One merge join at every size: only texts that share a bucket go further, and rounds read just those.
     nodes = weight.select(F.col("node").alias("doc_id"))
     texts = persist_table(texts.join(nodes.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
-    centres = buckets.groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("centre"))
-    tried = persist_table(_star(buckets.join(centres, "key")), "pairs")
+    centres = buckets.groupBy("key").agg(F.max_by(F.struct("node", "size"), F.struct("weight", -F.col("node"))).alias("c"))
+    centres = centres.select("key", F.col("c.node").alias("centre"), F.col("c.size").alias("centre_size"))
+    tried = persist_table(_star(buckets.join(centres, "key"), percent), "pairs")
+    centres = centres.drop("centre_size")
     links = persist_table(confirmed(tried, texts, width, percent), "confirmed")
     labels = components(links)
     while True:
-        marked = buckets.join(labels, "node", "left").select("key", "node", "weight", F.coalesce("label", "node").alias("label"))
+        marked = buckets.join(labels, "node", "left").select("key", "node", "size", "weight", F.coalesce("label", "node").alias("label"))
         mixed = marked.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1")
         buckets = persist_table(marked.join(mixed.select("key"), "key", "left_semi"), "buckets")
         used = centres.join(labels, centres.centre == labels.node, "left").select("key", F.coalesce("label", "centre").alias("label"))
         fresh = buckets.join(used.distinct(), ["key", "label"], "left_anti").groupBy("key").agg(
-            F.max_by(F.struct("node", "label"), F.struct("weight", -F.col("node"))).alias("c")
+            F.max_by(F.struct("node", "label", "size"), F.struct("weight", -F.col("node"))).alias("c")
         )
-        fresh = persist_table(fresh.select("key", F.col("c.node").alias("centre"), F.col("c.label").alias("own")), "centres")
-        more = _star(buckets.join(fresh, "key").filter("label <> own")).join(tried, ["a", "b"], "left_anti")
+        fresh = fresh.select("key", F.col("c.node").alias("centre"), F.col("c.label").alias("own"), F.col("c.size").alias("centre_size"))
+        fresh = persist_table(fresh, "centres")
+        more = _star(buckets.join(fresh, "key").filter("label <> own"), percent).join(tried, ["a", "b"], "left_anti")
         more = persist_table(more, "pairs")
         found = persist_table(confirmed(more, texts, width, percent), "confirmed")
         if found.isEmpty():
@@ -188,8 +194,9 @@ def near_duplicates(
         tried, links = tried.union(more), links.union(found)
         centres = centres.union(fresh.select("key", "centre"))
         labels = components(links)
-        buckets = buckets.select("key", "node", "weight")
-    rest = persist_table(_across(buckets).join(tried.union(more), ["a", "b"], "left_anti"), "pairs")
+        buckets = buckets.select("key", "node", "size", "weight")
+    left = buckets.select("node", "label").distinct()
+    rest = persist_table(_by_rare_shingles(left, texts, width, percent).join(tried.union(more), ["a", "b"], "left_anti"), "pairs")
     found = persist_table(confirmed(rest, texts, width, percent), "confirmed")
     if not found.isEmpty():
         labels = components(links.union(found))
@@ -203,17 +210,51 @@ def near_duplicates(
     )
 
 
-def _star(rows: DataFrame) -> DataFrame:
-    pairs = rows.filter("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-    return pairs.distinct()
+def _star(rows: DataFrame, percent: int) -> DataFrame:
+    alike = F.lit(100) * F.least("size", "centre_size") >= F.lit(percent) * F.greatest("size", "centre_size")
+    pairs = rows.filter(alike & (F.col("node") != F.col("centre")))
+    return pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
-def _across(buckets: DataFrame) -> DataFrame:
-    """All pairs of nodes of different labels in one bucket; a large bucket is dealt out in blocks."""
-    sizes = buckets.groupBy("key").agg(F.expr("(count(*) + 499) div 500").alias("blocks"))
-    dealt = buckets.select("key", "node", "label").join(sizes, "key")
-    right = dealt.select(
-        "key", F.col("node").alias("b"), F.col("label").alias("other"), F.expr("pmod(xxhash64(node), blocks)").alias("block")
+def _by_rare_shingles(nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, label) of different labels that share one of their rarest shingles.
+
+    No pair at or above ``percent`` is lost, whatever the order, as long as it is the same for all sets: two
+    sets that share ``need`` shingles have their first common one before fewer than ``need`` are left in either.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketcher = Sketcher(width, 1, 1)
+        schema = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+
+        def rows():
+            for node, text in rows_of(batches, "doc_id", "text"):
+                own = sketcher.shingles(text).view(np.int64)
+                yield node, len(own), own
+
+        return in_batches(rows(), schema, 500)
+
+    own = texts.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
+    sets = persist_table(own.mapInArrow(run, "node bigint, size bigint, shingles array<bigint>"), "sets")
+    each = sets.select("node", "size", F.explode("shingles").alias("shingle"))
+    common = each.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
+    ranked = each.join(common, "shingle").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("s"))
+    # A shingle of one set alone pairs nothing: such fill the first places and are not carried.
+    first = F.expr(f"int(size - (size * {percent} + 99) div 100 + 1 - (size - size(s)))")
+    heads = ranked.withColumn("first", first).filter("first > 0").select(
+        "node", "size", (F.col("size") - F.size("s")).alias("alone"), F.posexplode(F.expr("slice(s, 1, first).shingle")).alias("at", "shingle")
+    )
+    heads = persist_table(heads.withColumn("at", F.col("at") + F.col("alone")).drop("alone").join(nodes, "node"), "heads")
+
+    def side(name: str) -> DataFrame:
+        return heads.select("shingle", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "size", "at", "label")])
+
+    # Linked sets share at least ``need`` shingles; from their first common one on, both must hold that many.
+    need = f"({percent} * (size_a + size_b) + {99 + percent}) div {100 + percent}"
+    small = side("a").filter(f"size_a - at_a >= (2 * {percent} * size_a + {99 + percent}) div {100 + percent}")
+    fits = (
+        "(size_a < size_b OR size_a = size_b AND node_a < node_b) AND label_a <> label_b "
+        f"AND 100 * size_a >= {percent} * size_b AND least(size_a - at_a, size_b - at_b) >= {need}"
     )
-    left = dealt.select("key", F.col("node").alias("a"), "label", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"))
-    return left.join(right.hint("merge"), ["key", "block"]).filter("a < b AND label <> other").select("a", "b").distinct()
+    pairs = small.join(side("b"), "shingle").filter(fits)
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
