@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from barloom.catalog import performance  # noqa: F401  (registers the views used below)
 from barloom.catalog.common import present
@@ -14,7 +14,7 @@ from barloom.operators.sessions import session_calendar
 from barloom.plans import study
 from barloom.session import persist_table, work_dir
 from barloom.sources import market_views as M
-from barloom.streaming import books as BK, daily_bars as DB, forward as FW, positions as PS, runs
+from barloom.streaming import books as BK, daily_bars as DB, forward as FW, pending as PD, positions as PS, runs
 
 QUERIES, ORACLE = {}, {}
 
@@ -137,6 +137,89 @@ def stream_no_backfill(spark, sf):
     return present(ledger.decisions())
 
 
+class _CutOff(FW.ForwardLedger):
+    """Stops once before its ``stop``-th write, as a lost driver would."""
+
+    writes, stop = 0, None
+
+    def _replace(self, rows, name, *by):
+        self.writes += 1
+        if self.writes == self.stop:
+            raise InterruptedError(name)
+        super()._replace(rows, name, *by)
+
+
+def _five_kinds(batch):
+    of = lambda kind: batch.where(F.col("event_type") == kind)
+    equity = batch.groupBy("session").agg(F.round(F.sum(F.round(F.col("value") * 100).cast("bigint")) / 100, 2).alias("equity"))
+    return dict(zip(FW.KINDS, (of("view"), of("click"), of("purchase"), equity, batch), strict=True))
+
+
+@q("forward_session_manifests", """
+WITH e AS (SELECT CAST(ts AS DATE) AS session, event_type FROM events),
+k AS (SELECT session, 'candidates' AS kind, count(*) FILTER (WHERE event_type = 'view') AS records FROM e GROUP BY 1 UNION ALL
+      SELECT session, 'orders', count(*) FILTER (WHERE event_type = 'click') FROM e GROUP BY 1 UNION ALL
+      SELECT session, 'trades', count(*) FILTER (WHERE event_type = 'purchase') FROM e GROUP BY 1 UNION ALL
+      SELECT DISTINCT session, 'equity', 1 FROM e UNION ALL SELECT session, 'events', count(*) FROM e GROUP BY 1)
+SELECT CAST(session AS VARCHAR) AS session, kind, records, records AS stored, true AS chained, CAST(1 AS BIGINT) AS manifests, CAST(1 AS BIGINT) AS accepted,
+ CAST(0 AS BIGINT) AS violations FROM k""")
+def forward_session_manifests(spark, sf):
+    """Three batches; the second is cut off between two kinds, the third after its manifests, and both are offered again."""
+    events = M.table(spark, sf, "events").withColumn("session", F.to_date("ts"))
+    ledger = _CutOff(spark, work_dir(spark, "five-ledgers"), session_calendar(events))
+    s, day = F.col("session"), lambda n: F.lit(dt.date(2024, 1, n))
+    for name, rows, stop in (("a", s <= day(9), None), ("b", s.between(day(10), day(19)), 3), ("c", s > day(19), 7)):
+        ledger.writes, ledger.stop = 0, stop
+        if stop:
+            try:
+                ledger.offer(events.where(rows), _five_kinds, batch_id=name)
+            except InterruptedError:
+                ledger.stop = None
+        ledger.offer(events.where(rows), _five_kinds, batch_id=name)
+    schemas = {kind: part.schema for kind, part in _five_kinds(events).items()}
+    stored = None
+    for kind, schema in schemas.items():
+        n = ledger.read(kind, schema).groupBy("session").agg(F.count(F.lit(1)).alias("stored")).withColumn("kind", F.lit(kind))
+        stored = n if stored is None else stored.unionByName(n)
+    before = F.lag("final_hash").over(Window.partitionBy("kind").orderBy("session"))
+    rows = ledger.manifests().withColumns(
+        {"chained": F.coalesce(before == F.col("prior_hash"), F.col("prior_hash") == F.sha2("kind", 256)),
+         "manifests": F.count(F.lit(1)).over(Window.partitionBy("session", "kind"))}
+    )
+    taken = ledger.decisions().where("decision = 'accepted'").groupBy("session").agg(F.count(F.lit(1)).alias("accepted"))
+    bad = ledger.violations(schemas).groupBy("session", "kind").agg(F.count(F.lit(1)).alias("violations"))
+    found = rows.join(stored, ["session", "kind"], "left").join(taken, "session", "left").join(bad, ["session", "kind"], "left")
+    return present(found.select(
+        "session", "kind", "records", F.coalesce("stored", F.lit(0)).alias("stored"), "chained", "manifests", "accepted",
+        F.coalesce("violations", F.lit(0)).alias("violations"),
+    ))
+
+
+_PENDING = """
+SELECT rule, s.security_id, CAST(signal_session AS VARCHAR) AS signal_session, CAST(entry_session AS VARCHAR) AS entry_session,
+  CASE WHEN b.session IS NOT NULL THEN 'entered' WHEN entry_session <= least((SELECT max(entry_session) FROM v_signals), (SELECT max(session) FROM v_bars)) - 1
+       THEN 'expired' ELSE 'pending' END AS status, round(b.open, 6) AS entry_price
+FROM v_signals s LEFT JOIN v_bars b ON b.security_id = s.security_id AND b.session = s.entry_session"""
+
+
+def _signals(spark, sf):
+    signals = study.study_signals(M.bars(spark, sf), M.calendar(spark, sf))
+    return signals.select("rule", "security_id", "signal_session", "entry_session")
+
+
+@q("pending_entries_batch", with_views(_PENDING, recursive=True))
+def pending_entries_batch(spark, sf):
+    return present(PD.pending_batch(_signals(spark, sf), M.bars(spark, sf)), 6)
+
+
+@q("stream_pending_entries", with_views(f"SELECT * FROM ({_PENDING}) WHERE status <> 'pending'", recursive=True))
+def stream_pending_entries(spark, sf):
+    """Signals of every rule wait for the bar of their entry session; those whose bar never comes expire."""
+    signals = _stream(spark, persist_table(_signals(spark, sf), "signal-feed"))
+    bars = _stream(spark, persist_table(M.bars(spark, sf).select("security_id", "session", "open"), "bar-feed"))
+    return present(runs.run_available(PD.enter_pending(signals, bars), "pending"), 6)
+
+
 @q("forward_initial_books", """
 SELECT DISTINCT p_brand AS strategy_id, '1995-01-02' AS first_session, CAST(100000 AS DOUBLE) AS starting_equity, CAST(100000 AS DOUBLE) AS current_equity,
   CAST(0 AS BIGINT) AS closed_trades, CAST(0 AS BIGINT) AS open_positions FROM part""")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import exits as X
 from barloom.operators.sessions import session_calendar
-from barloom.streaming import forward as FW, positions as PS, runs
+from barloom.streaming import forward as FW, pending as PD, positions as PS, runs
 from test_bars_and_sessions import business_days
 from test_features_and_rules import noisy
 
@@ -55,3 +55,75 @@ def test_forward_ledger_decisions(spark, tmp_path):
     assert decisions(on(days[2], days[3])) == ["accepted", "accepted"]
     assert ledger.control().count() == 4
     assert ledger.read("events", "session date, security_id string, v double").count() == 8
+
+
+def test_pending_signals_over_several_batches(spark, tmp_path):
+    days = business_days("2024-01-02", "2024-01-31")
+    after = dict(zip(days, days[1:]))
+    signals = [(f"r{k}", s, d, after[d]) for i, d in enumerate(days[:-1]) for s in ("A", "B", "C") for k in range(2) if (i + k) % 3]
+    signals = spark.createDataFrame([*signals, ("r9", "A", days[-1], None)], "rule string, security_id string, signal_session date, entry_session date")
+    bars = spark.createDataFrame(
+        [(s, d, float(i)) for i, d in enumerate(days) for s in ("A", "B", "D") if not (s == "B" and i % 4 == 0)], "security_id string, session date, open double"
+    )
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    for n in range(0, len(days), 6):
+        now = days[n : n + 6]
+        signals.where(F.col("signal_session").isin(now)).write.mode("append").parquet(str(tmp_path / "signals"))
+        bars.where(F.col("session").isin(now)).write.mode("append").parquet(str(tmp_path / "bars"))
+        stream = PD.enter_pending(
+            spark.readStream.schema(signals.schema).parquet(str(tmp_path / "signals")), spark.readStream.schema(bars.schema).parquet(str(tmp_path / "bars"))
+        )
+        runs_once = stream.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+        runs_once.awaitTermination()
+    got = sorted(map(str, spark.read.parquet(out).collect()))
+    batch = PD.pending_batch(signals, bars)
+    assert got == sorted(map(str, batch.where("status <> 'pending'").collect()))
+    states = {r.status: r["count"] for r in batch.groupBy("status").count().collect()}
+    assert states.keys() == {"entered", "expired", "pending"} and states["pending"] < 10
+    assert PD.pending_batch(signals, bars.limit(0)).where("status <> 'pending'").isEmpty()
+
+
+class CutOff(FW.ForwardLedger):
+    left = None
+
+    def _replace(self, rows, name, *by):
+        if self.left is not None:
+            if not self.left:
+                self.left = None
+                raise InterruptedError(name)
+            self.left -= 1
+        super()._replace(rows, name, *by)
+
+
+def test_ledger_cut_off_before_any_write_ends_as_if_it_had_not(spark, tmp_path):
+    days = business_days("2024-01-02", "2024-01-09")
+    rows = spark.createDataFrame([(d, s, float(i)) for i, d in enumerate(days) for s in ("A", "B")], "session date, security_id string, v double")
+    kinds = lambda b: {"orders": b.where("v > 0"), "events": b}
+    batches = [("1", days[:2]), ("2", [days[0], days[4]]), ("3", days[2:])]
+    ends = []
+    for cut in (None, 0, 1, 2, 3, 4):
+        ledger = CutOff(spark, str(tmp_path / f"run{cut}"), session_calendar(rows))
+        for name, sessions in batches:
+            batch = rows.where(F.col("session").isin(sessions))
+            ledger.left = cut
+            try:
+                ledger.offer(batch, kinds, batch_id=name)
+            except InterruptedError:
+                ledger.left = None
+                ledger.offer(batch, kinds, batch_id=name)
+            ledger.left = None
+        assert ledger.violations({"orders": rows.schema, "events": rows.schema}).isEmpty()
+        ends.append((sorted(map(str, ledger.manifests().collect())), sorted(map(str, ledger.decisions().collect())), ledger.read("events", rows.schema).count()))
+    assert all(end == ends[0] for end in ends)
+    assert ends[0][2] == 12 and len(ends[0][0]) == 12
+
+
+def test_ledger_shows_changed_rows(spark, tmp_path):
+    days = business_days("2024-01-02", "2024-01-05")
+    rows = spark.createDataFrame([(d, float(i)) for i, d in enumerate(days)], "session date, v double")
+    ledger = FW.ForwardLedger(spark, str(tmp_path / "run"), session_calendar(rows))
+    ledger.offer(rows, lambda b: {"events": b})
+    assert set(ledger.heads()) == {"events"} and ledger.heads()["events"] != FW.genesis("events")
+    changed = rows.where(F.col("session") == days[1]).withColumn("v", F.lit(7.0))
+    changed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session").parquet(str(tmp_path / "run" / "events"))
+    assert [tuple(r) for r in ledger.violations({"events": rows.schema}).collect()] == [(days[1], "events", "content")]
