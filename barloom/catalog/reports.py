@@ -224,23 +224,93 @@ def bar_store_roundtrip(spark, sf):
     )
 
 
-@q("file_hashes")
-def file_hashes(spark, sf):
-    return present(FI.file_inventory(spark, sf, "*.parquet"))
+_TREE_FILES = """
+SELECT 'documents/' || coalesce(source, '') AS folder, coalesce(lang, '') || '/' || doc_id AS path, CAST(strlen(coalesce(text, '')) AS BIGINT) AS length,
+  sha256(coalesce(text, '')) AS sha256 FROM documents
+UNION ALL SELECT 'pages/' || regexp_extract(url, '^[a-z]+://([^/]*)', 1), CAST(page_id AS VARCHAR), CAST(strlen(coalesce(html, '')) AS BIGINT),
+  sha256(coalesce(html, '')) FROM pages"""
+
+
+def _tree_files(spark, sf):
+    """Documents and pages as the files of a tree, by source and host."""
+    docs, pages = M.table(spark, sf, "documents"), M.table(spark, sf, "pages")
+    path = F.concat(F.coalesce("lang", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"))
+    host = F.regexp_extract("url", "^[a-z]+://([^/]*)", 1)
+    return FI.row_files(docs, F.concat(F.lit("documents/"), F.coalesce("source", F.lit(""))), path, F.col("text")).unionByName(
+        FI.row_files(pages, F.concat(F.lit("pages/"), host), F.col("page_id"), F.col("html"))
+    )
 
 
-@q("manifest_status")
+@q("file_hashes", f"SELECT folder, path, length, sha256 FROM ({_TREE_FILES})")
+def file_hashes(spark, sf):
+    return present(_tree_files(spark, sf).select("folder", "path", "length", "sha256"))
+
+
+_PLANTED = """
+SELECT folder, path, CASE WHEN crc % 97 = 3 THEN reverse(sha256) ELSE sha256 END AS sha256
+FROM (SELECT *, CAST(('0x' || substr(sha256(path), 1, 6)) AS BIGINT) AS crc FROM v_files)
+WHERE folder NOT IN (SELECT max(folder) FROM v_files) AND NOT (folder <> (SELECT min(folder) FROM v_files) AND crc % 89 = 5)
+UNION ALL SELECT folder, 'absent', sha256(folder) FROM (SELECT DISTINCT folder FROM v_files) WHERE folder LIKE '%1'"""
+_STATES = """
+SELECT folder, path, CASE WHEN h IS NULL THEN 'missing' WHEN w IS NULL AND NOT declared THEN 'unavailable' WHEN w IS NULL THEN 'extra'
+  WHEN w = h THEN 'ok' ELSE 'changed' END AS state
+FROM (SELECT coalesce(m.folder, f.folder) AS folder, coalesce(m.path, f.path) AS path, m.sha256 AS w, f.sha256 AS h,
+             coalesce(m.folder, f.folder) IN (SELECT folder FROM v_planted) AS declared
+      FROM v_planted m FULL JOIN v_files f ON m.folder = f.folder AND m.path = f.path)"""
+
+
+def _planted_manifest(files):
+    """The files as declared, with changed hashes, left out and absent files, and one folder left out whole."""
+    number = F.conv(F.substring(F.sha2(F.col("path").cast("binary"), 256), 1, 6), 16, 10).cast("bigint")
+    lowest, highest = files.select(F.min("folder")).scalar(), files.select(F.max("folder")).scalar()
+    kept = files.where((F.col("folder") != highest) & ~((F.col("folder") != lowest) & (number % 89 == 5)))
+    declared = kept.select("folder", "path", F.when(number % 97 == 3, F.reverse("sha256")).otherwise(F.col("sha256")).alias("sha256"))
+    absent = files.select("folder").distinct().where("folder LIKE '%1'")
+    return declared.unionByName(absent.select("folder", F.lit("absent").alias("path"), F.sha2("folder", 256).alias("sha256")))
+
+
+@q("manifest_states", with_views("SELECT * FROM v_states", v_files=_TREE_FILES, v_planted=_PLANTED, v_states=_STATES))
+def manifest_states(spark, sf):
+    """Files against a manifest in which every state is planted."""
+    files = _tree_files(spark, sf)
+    return present(FI.reconcile(_planted_manifest(files), files))
+
+
+@q("manifest_status", with_views("""
+SELECT *, CASE WHEN n_unavailable > 0 THEN 'unavailable' WHEN n_changed + n_extra > 0 THEN 'degraded' WHEN n_missing > 0 THEN 'partial' ELSE 'ok' END AS status
+FROM (SELECT folder, count(*) FILTER (WHERE state = 'ok') AS n_ok, count(*) FILTER (WHERE state = 'changed') AS n_changed,
+  count(*) FILTER (WHERE state = 'missing') AS n_missing, count(*) FILTER (WHERE state = 'extra') AS n_extra, CAST(0 AS BIGINT) AS n_ambiguous,
+  count(*) FILTER (WHERE state = 'unavailable') AS n_unavailable FROM v_states GROUP BY folder)""",
+  v_files=_TREE_FILES, v_planted=_PLANTED, v_states=_STATES))
 def manifest_status(spark, sf):
-    inventory = FI.file_inventory(spark, sf, "*.parquet")
-    name = F.regexp_extract("path", r"^([a-z]+)", 1)
-    manifest = inventory.select(
-        F.when(name.isin("region", "nation"), "lookups").when(name.isin("orders", "lineitem"), "facts").otherwise("others").alias("folder"),
-        F.when(name == "nation", F.concat(F.lit("absent-"), F.col("path"))).otherwise(F.col("path")).alias("path"),
-        F.when(name == "orders", F.reverse("sha256")).otherwise(F.col("sha256")).alias("sha256"),
-    )
-    return present(FI.manifest_status(manifest, inventory, "folder"))
+    files = _tree_files(spark, sf)
+    return present(FI.manifest_status(_planted_manifest(files), files))
+
+
+@q("manifest_verified", f"SELECT folder, path FROM ({_TREE_FILES})")
+def manifest_verified(spark, sf):
+    """Files under a manifest that holds; a job over one that does not would fail."""
+    files = _tree_files(spark, sf)
+    return present(FI.verified(files.select("folder", "path", "sha256"), files))
+
+
+def _trie_sql(per_bucket: int, depth: int) -> str:
+    digits = " + ".join(f"CASE WHEN n > {per_bucket * 16 ** (k - 1)} THEN 1 ELSE 0 END" for k in range(1, depth + 1))
+    out = [
+        f"""n_{depth} AS (SELECT folder, digits AS level, node, sha256(string_agg(line, chr(10) ORDER BY encode(line))) AS digest
+        FROM (SELECT folder, {digits} AS digits, left(sha256(path), {digits}) AS node, path || ':' || sha256 AS line
+              FROM v_files JOIN (SELECT folder, count(*) AS n FROM v_files GROUP BY folder) USING (folder)) GROUP BY ALL)"""
+    ]
+    for level in range(depth, 0, -1):
+        out.append(
+            f"""n_{level - 1} AS (SELECT * FROM n_{level} WHERE level < {level} UNION ALL SELECT folder, {level - 1}, left(node, {level - 1}),
+            sha256(string_agg(digest, '' ORDER BY node)) FROM n_{level} WHERE level = {level} GROUP BY folder, left(node, {level - 1}))"""
+        )
+    return f"""WITH v_files AS ({_TREE_FILES}), {", ".join(out)}
+SELECT folder, count(*) AS files, CAST(sum(length) AS BIGINT) AS bytes, any_value(digest) AS fingerprint FROM v_files JOIN n_0 USING (folder) GROUP BY folder"""
 
 
-@q("archive_fingerprints")
+@q("archive_fingerprints", _trie_sql(4, 5))
 def archive_fingerprints(spark, sf):
-    return present(FI.folder_fingerprints(FI.file_inventory(spark, sf, "*.parquet")))
+    """Digest, count and bytes of every folder; buckets are small here so that several levels are built."""
+    return present(FI.digest_tree(_tree_files(spark, sf), per_bucket=4, depth=5))

@@ -41,10 +41,8 @@ def pending_batch(signals: DataFrame, bars: DataFrame, delay: str = "1 day") ->
     """The same of two tables, with ``pending`` for signals that neither met a bar nor are passed yet."""
     waiting, opened = _sides(signals, bars)
     reach = waiting.agg(F.max("_entry_at").alias("at")).unionAll(opened.agg(F.max("_bar_at")))
-    # One row with the time that both sides have reached; an empty side has reached nothing.
-    mark = reach.agg(F.when(F.count("at") == 2, F.min("at") - F.expr(f"INTERVAL {delay}")).alias("_mark"))
-    joined = waiting.join(opened, _meets(), "left").join(F.broadcast(mark), F.lit(True), "left")
-    status = (
-        F.when(F.col("_security").isNotNull(), "entered").when(F.col("_entry_at") <= F.col("_mark"), "expired").otherwise("pending")
-    )
+    # The time that both sides have reached; an empty side has reached nothing.
+    mark = reach.select(F.when(F.count("at") == 2, F.min("at") - F.expr(f"INTERVAL {delay}"))).scalar()
+    joined = waiting.join(opened, _meets(), "left")
+    status = F.when(F.col("_security").isNotNull(), "entered").when(F.col("_entry_at") <= mark, "expired").otherwise("pending")
     return _result(joined, signals.columns, status)
