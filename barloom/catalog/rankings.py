@@ -8,6 +8,7 @@ from barloom.catalog.common import present
 from barloom.catalog.performance import capital
 from barloom.catalog.views_sql import view, with_views
 from barloom.operators import overlap as O, ranking as R, sessions as S
+from barloom.session import persist_table
 from barloom.sources import market_views as M
 
 QUERIES, ORACLE = {}, {}
@@ -90,11 +91,15 @@ def leaderboards(spark, sf):
     )
 
 
-@q("top_n_per_axis", with_views("""
-SELECT kind, strategy_id, profit_rank AS rank FROM v_ranked WHERE profit_rank <= 5"""))
+@q("top_n_per_axis", with_views(" UNION ALL ".join(
+    f"SELECT kind, '{axis}' AS axis, strategy_id, {axis}_rank AS rank FROM v_ranked WHERE {axis}_rank <= 5" for axis in ("profit", "drawdown", "ratio"))))
 def top_n_per_axis(spark, sf):
-    top = R.top_of_axis(_ranked(spark, sf), "profit")
-    return present(top.select("kind", "strategy_id", F.col("profit_rank").alias("rank")))
+    ranked = persist_table(_ranked(spark, sf), "ranked")
+    tops = [
+        R.top_of_axis(ranked, axis).select("kind", F.lit(axis).alias("axis"), "strategy_id", F.col(f"{axis}_rank").alias("rank"))
+        for axis in ("profit", "drawdown", "ratio")
+    ]
+    return present(tops[0].unionByName(tops[1]).unionByName(tops[2]))
 
 
 @q("topn_union", with_views(f"""

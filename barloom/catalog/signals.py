@@ -115,22 +115,27 @@ def signal_priority(spark, sf):
     return present(ranked.select("rule", "security_id", "signal_session", "tie", "priority_rank"))
 
 
-@q("signal_facts", with_views("""
-SELECT security_id, CAST(signal_session AS VARCHAR) AS signal_session, name, round(value, 6) AS value, CAST(available AS VARCHAR) AS available
-FROM (SELECT * FROM v_signals WHERE rule = 'monthly-ema6-below__return5-cross-zero') s,
-LATERAL (VALUES ('daily_return20', daily_return20, signal_session), ('daily_return5', daily_return5, signal_session),
-  ('monthly_close', monthly_close, monthly_available), ('monthly_ema6', monthly_ema6, monthly_available)) f(name, value, available)""",
-   recursive=True))
+_FRAMES = {f.name: f.timeframe for f in grid.FEATURES}
+
+
+def _available(fact: str) -> str:
+    return "signal_session" if _FRAMES[fact] == "daily" else f"{_FRAMES[fact]}_available"
+
+
+@q("signal_facts", with_views("SELECT rule, security_id, CAST(signal_session AS VARCHAR) AS signal_session, name, round(value, 6) AS value,"
+   " CAST(available AS VARCHAR) AS available FROM (" + " UNION ALL ".join(
+       f"SELECT rule, security_id, signal_session, '{fact}' AS name, {fact} AS value, {_available(fact)} AS available FROM v_signals WHERE rule = '{rule.name}'"
+       for rule in grid.rules() for fact in rule.facts) + ")", recursive=True))
 def signal_facts(spark, sf):
-    rule = next(r for r in grid.rules() if r.name == "monthly-ema6-below__return5-cross-zero")
-    matrix = study.study_matrix(M.bars(spark, sf), M.calendar(spark, sf))
-    hits = SG.with_entry_session(SG.rule_hits(matrix, [rule], grid.PRIORITY, "adv"), M.calendar(spark, sf))
-    frames = {f.name: f.timeframe for f in grid.FEATURES}
-    available = {n: f"{frames[n]}_available" for n in rule.facts if frames[n] != "daily"}
-    facts = hits.withColumn("facts", SG.facts_map(rule.facts, available, "signal_session"))
+    """Facts behind every signal of every rule: all facts as one map, of which a rule keeps its own."""
+    signals = study.study_signals(M.bars(spark, sf), M.calendar(spark, sf))
+    names = sorted({fact for rule in grid.rules() for fact in rule.facts})
+    of_rule = F.create_map(*[x for rule in grid.rules() for x in (F.lit(rule.name), F.array(*map(F.lit, rule.facts)))])
+    facts = signals.withColumn("facts", SG.facts_map(names, {n: _available(n) for n in names}, "signal_session"))
+    own = F.map_filter("facts", lambda name, _: F.array_contains(F.try_element_at(of_rule, F.col("rule")), name))
     return present(
-        facts.select("security_id", "signal_session", F.explode("facts").alias("name", "fact")).select(
-            "security_id", "signal_session", "name", F.col("fact.value").alias("value"),
+        facts.select("rule", "security_id", "signal_session", F.explode(own).alias("name", "fact")).select(
+            "rule", "security_id", "signal_session", "name", F.col("fact.value").alias("value"),
             F.col("fact.available_session").alias("available"),
         ),
         6,
