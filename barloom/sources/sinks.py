@@ -13,25 +13,28 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_bars(bars: DataFrame, report: DataFrame, last_completed: Column, path: str) -> None:
-    """Store completed bars of securities that passed quality.
+    """Store completed bars of securities that passed quality, each security as a whole.
 
-    Only the years written are replaced and refused securities keep what was
-    stored before: their old rows are carried into the rewritten years.
+    What was stored of a security that is written goes, sessions that the new bars lack included. Refused and
+    absent securities keep theirs: their rows are carried into the rewritten years. Years in which no written
+    security has or had bars are left alone; a year without rows afterwards is removed.
     """
     spark = bars.sparkSession
     accepted = report.where("ok").select("security_id")
     fresh = bars.where(F.col("session") <= last_completed).join(accepted, "security_id", "left_semi")
     out = fresh.withColumn("year", F.year("session"))
+    emptied = []
     if _exists(spark, path):
         stored = spark.read.parquet(path)
-        years = out.select("year").distinct()
-        kept = stored.join(F.broadcast(years), "year", "left_semi").join(
-            fresh.select("security_id", "session"), ["security_id", "session"], "left_anti"
-        )
+        written = fresh.select("security_id").distinct()
+        years = out.select("year").unionByName(stored.join(written, "security_id", "left_semi").select("year")).distinct()
+        kept = stored.join(F.broadcast(years), "year", "left_semi").join(written, "security_id", "left_anti")
         merged = out.unionByName(kept.select(out.columns))
         staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+        touched = {r["year"] for r in years.collect()}  # one value a year
         merged.write.mode("overwrite").partitionBy("year").parquet(staged)
         out = spark.read.schema(merged.schema).parquet(staged)
+        emptied = sorted(touched - {r["year"] for r in out.select("year").distinct().collect()})
     (
         out.repartition("year", "security_id")
         .sortWithinPartitions("security_id", "session")
@@ -40,6 +43,9 @@ def write_bars(bars: DataFrame, report: DataFrame, last_completed: Column, path:
         .partitionBy("year")
         .parquet(path)
     )
+    for year in emptied:
+        gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/year={year}")
+        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
 
 
 def read_bars(spark: SparkSession, path: str, until: Column | None = None) -> DataFrame:
