@@ -50,6 +50,26 @@ def canonical_identity(spark, sf):
     return present(rows.select("candidate_id", identity.alias("identity")))
 
 
+_CODE = "printf('\\u%04x', {})"
+_ASCII = rf"""list_transform(string_split({{}}, ''), lambda c: CASE WHEN c = '"' THEN '\"' WHEN c = '\' THEN '\\'
+  WHEN c = chr(8) THEN '\b' WHEN c = chr(9) THEN '\t' WHEN c = chr(10) THEN '\n' WHEN c = chr(12) THEN '\f' WHEN c = chr(13) THEN '\r'
+  WHEN unicode(c) BETWEEN 32 AND 126 THEN c WHEN unicode(c) < 65536 THEN {_CODE.format("unicode(c)")}
+  ELSE {_CODE.format("55296 + (unicode(c) - 65536) // 1024")} || {_CODE.format("56320 + (unicode(c) - 65536) % 1024")} END)"""
+_MARKS = ("Caf\u00e9 \u6771\u4eac", "\U0001d11e \U0001f600", "\x07\x1b\x7f", "tab\t back\\u001F \"quoted\"", "plain")
+
+
+@q("canonical_text_identity", f"""
+SELECT doc_id, sha256('{{"domain":"barloom/document/v1","payload":{{"mark":"' || array_to_string({_ASCII.format("mark")}, '') || '","source":' ||
+  coalesce('"' || array_to_string({_ASCII.format("source")}, '') || '"', 'null') || ',"text":' ||
+  coalesce('"' || array_to_string({_ASCII.format("text")}, '') || '"', 'null') || '}}}}') AS identity
+FROM (SELECT *, list_extract([{", ".join(" || ".join(f"chr({ord(c)})" for c in m) for m in _MARKS)}], CAST(doc_id % 5 AS INTEGER) + 1) AS mark FROM documents)""")
+def canonical_text_identity(spark, sf):
+    """Identities over whole texts, each with one of five marks of characters that canonical text must escape."""
+    mark = F.element_at(F.array(*[F.lit(m) for m in _MARKS]), (F.col("doc_id") % 5).cast("int") + 1)
+    identity = K.identity("barloom/document/v1", mark=mark, source=F.col("source"), text=F.col("text"))
+    return present(M.table(spark, sf, "documents").select("doc_id", identity.alias("identity")))
+
+
 @q("hash_and_id_checks", """
 SELECT doc_id, sha256(text) AS content_sha256, regexp_matches(CASE WHEN doc_id % 5 = 0 THEN upper(sha256(text)) ELSE sha256(text) END, '^[0-9a-f]{64}$') AS valid,
   substr(sha256(text), 1, 12) AS prefix FROM documents""")

@@ -48,16 +48,40 @@ def stream_daily_bars(spark, sf):
     return present(runs.run_available(DB.daily_bars(ticks, "1 hour"), "daily-bars"))
 
 
-@q("stream_position_exits", with_views("""
+_DELAY_DAYS = 12
+_EXITS = """
 SELECT strategy_id || '|' || security_id || '|' || CAST(signal_session AS VARCHAR) AS candidate_id, security_id, CAST(session AS VARCHAR) AS exit_session,
-  reason AS exit_reason, round(price, 6) AS exit_price, i + 1 AS sessions_held FROM v_exits
-WHERE strategy_id = 'weekly-ema13-above__close-cross-sma10__rolling-low10__target-risk2p5'""", recursive=True))
+  reason AS exit_reason, round(price, 6) AS exit_price, i + 1 AS sessions_held FROM v_exits"""
+
+
+def _shuffled_batches(spark, feed, label):
+    """The feed as five files, one for each batch: bars come up to ten days after others of their day, the first bar
+    of each security comes once more at the end, and a row of no security closes the last day."""
+    first, last = feed.agg(F.min("session"), F.max("session")).first()
+    day = F.datediff("session", F.lit(first)) + F.pmod(F.xxhash64("security_id", "session"), F.lit(11))
+    part = F.least(F.floor(day * 4 / F.lit((last - first).days + 1)), F.lit(3)).cast("int")
+    again = feed.withColumn("k", F.row_number().over(Window.partitionBy("security_id").orderBy("session"))).where("k = 1").drop("k")
+    closing = feed.sparkSession.createDataFrame(
+        [("~", last + dt.timedelta(_DELAY_DAYS + 1), 0.0, 0.0, 0.0, 0.0)], "security_id string, session date, open double, high double, low double, close double"
+    )
+    inbox = work_dir(spark, label)
+    for n in range(4):
+        feed.where(part == n).coalesce(1).write.mode("append").parquet(inbox)
+    again.unionByName(closing, allowMissingColumns=True).coalesce(1).write.mode("append").parquet(inbox)
+    return spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+
+
+@q("stream_position_exits", with_views(f"""
+{_EXITS} UNION ALL
+SELECT NULL, b.security_id, CAST(min(b.session) AS VARCHAR), 'late_bar', round(first(b.close ORDER BY b.session), 6), first(coalesce(e.n, 0) ORDER BY b.session)
+FROM v_bars b LEFT JOIN (SELECT security_id, entry_session, count(*) AS n FROM v_levels WHERE geometry_reason IS NULL GROUP BY 1, 2) e
+  ON e.security_id = b.security_id AND e.entry_session = b.session
+  GROUP BY b.security_id""", recursive=True))
 def stream_position_exits(spark, sf):
+    """Every strategy's positions over batches that come out of order, with the bars that came too late to count."""
     runs.use_rocksdb(spark)
     bars = M.bars(spark, sf)
-    entries = study.study_entries(bars, M.calendar(spark, sf)).where(
-        "geometry_reason IS NULL AND strategy_id = 'weekly-ema13-above__close-cross-sma10__rolling-low10__target-risk2p5'"
-    )
+    entries = study.study_entries(bars, M.calendar(spark, sf)).where("geometry_reason IS NULL")
     opened = entries.select(
         "security_id",
         F.col("entry_session").alias("session"),
@@ -69,7 +93,8 @@ def stream_position_exits(spark, sf):
     )
     per_bar = opened.groupBy("security_id", "session").agg(F.collect_list("entry").alias("entries"))
     feed = persist_table(bars.drop("volume").join(per_bar, ["security_id", "session"], "left"), "position-feed")
-    return present(runs.run_available(PS.track_positions(_stream(spark, feed)), "position-exits"), 6)
+    stream = _shuffled_batches(spark, feed, "position-batches")
+    return present(runs.run_available(PS.track_positions(stream, delay=_DELAY_DAYS), "position-exits"), 6)
 
 
 _BOOK_ROWS = """

@@ -14,11 +14,28 @@ def decimal_string(value: Column) -> Column:
     return F.when(value == 0, F.lit("0")).otherwise(trimmed)
 
 
+#: An escape of four digits, another escape, a run of plain characters, or one character outside printable ASCII.
+_JSON_PARTS = r"\\u[0-9A-Fa-f]{4}|\\.|[ -\[\]-~]+|[^ -~]"
+
+
+def ascii_json(json: Column) -> Column:
+    """JSON text in printable ASCII: other characters as ``\\uXXXX`` with small digits, those past U+FFFF as surrogate pairs."""
+
+    def part(p: Column) -> Column:
+        units = F.regexp_replace(F.lower(F.hex(F.encode(p, "UTF-16BE"))), "(.{4})", r"\\u$1")
+        return F.when(p.rlike("^[^ -~]"), units).when(p.rlike(r"^\\u."), F.lower(p)).otherwise(p)
+
+    plain = ~json.rlike(r"[^ -~]|\\u")
+    return F.when(plain, json).otherwise(F.array_join(F.transform(F.regexp_extract_all(json, F.lit(_JSON_PARTS), F.lit(0)), part), ""))
+
+
 def canonical_json(**fields: Column) -> Column:
-    """JSON object with sorted keys, no spaces, ISO dates and explicit nulls."""
-    return F.to_json(
-        F.struct(*[fields[name].alias(name) for name in sorted(fields)]),
-        {"ignoreNullFields": "false", "dateFormat": "yyyy-MM-dd"},
+    """JSON object with sorted keys, no spaces, ISO dates, explicit nulls and every text in ASCII."""
+    return ascii_json(
+        F.to_json(
+            F.struct(*[fields[name].alias(name) for name in sorted(fields)]),
+            {"ignoreNullFields": "false", "dateFormat": "yyyy-MM-dd"},
+        )
     )
 
 

@@ -1,79 +1,168 @@
-"""Open-position tracker: one state per security holding its open positions."""
+"""Open-position tracker: one state per security, its bars taken in order of their session over all batches."""
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUTPUT = (
     "candidate_id string, security_id string, exit_session date, exit_reason string, exit_price double, sessions_held int"
 )
-STATE = "ids array<string>, stops array<double>, targets array<double>, held array<int>"
+OPEN = "ids array<string>, stops array<double>, targets array<double>, held array<int>"
+WAITING = (
+    "days array<int>, opens array<double>, highs array<double>, lows array<double>, closes array<double>, "
+    "counts array<int>, ids array<string>, stops array<double>, targets array<double>"
+)
+#: A bar this old is dropped by Spark itself; younger ones reach the tracker, which reports them when they are late.
+HORIZON_DAYS = 36525
+DAY_MS = 86_400_000
+EPOCH = dt.date(1970, 1, 1)
+
 
+def touched(bar, stops: np.ndarray, targets: np.ndarray, held: np.ndarray, hold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Exit reason (empty: none) and price of all positions of a security on one bar.
 
-def step(bar, stop: float, target: float, held: int, hold: int, carried: bool):
-    """Exit (reason, price) of one position on one bar, or None."""
-    if carried and bar.open <= stop:
-        return "gap_stop", bar.open
-    if carried and bar.open >= target:
-        return "gap_target", bar.open
-    if bar.low <= stop:
-        return "stop", stop
-    if bar.high >= target:
-        return "target", target
-    if held == hold:
-        return "time", bar.close
-    return None
+    A position in its first session was opened on this bar, so its open can't gap over a level.
+    """
+    opened, high, low, close = bar
+    carried = held > 1
+    cases = [carried & (opened <= stops), carried & (opened >= targets), low <= stops, high >= targets, held == hold]
+    reason = np.select(cases, ["gap_stop", "gap_target", "stop", "target", "time"], "")
+    price = np.select(cases, [np.full(stops.shape, opened), np.full(stops.shape, opened), stops, targets, np.full(stops.shape, close)], np.nan)
+    return reason, price
 
 
 class PositionTracker(StatefulProcessor):
-    """Carries open positions across batches.
+    """Carries open positions and bars that are not yet due across batches.
 
-    Input rows are bars of one security, each with the entries opened on it.
-    A security has at most one bar per session and every position ends within
-    ``hold`` bars, so the state is bounded by strategies x hold.
+    Input rows are bars of one security, each with the entries opened on it. A bar waits in the state
+    until the watermark has passed its session by ``delay`` days, then the waiting bars are taken in
+    order. A bar at or before the last session taken is late: it changes nothing and comes out as a row
+    with the reason ``late_bar``. A security has at most one bar per session (of several in waiting the
+    first that came counts, the others are late) and every position ends within ``hold`` bars, so the
+    state is bounded by strategies x hold and the bars of ``delay`` days and of one batch.
     """
 
-    def __init__(self, hold: int):
-        self.hold = hold
+    def __init__(self, hold: int, delay: int = 0):
+        self.hold, self.delay = hold, delay
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", STATE)
+        self.handle = handle
+        self.open = handle.getValueState("open", OPEN)
+        self.waiting = handle.getValueState("waiting", WAITING)
+        self.last = handle.getValueState("last", "day int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        bars = pd.concat(list(rows)).sort_values("session", kind="stable")
-        book = []
+        arrived = []
+        for part in rows:
+            for bar in part.itertuples(index=False):
+                entries = bar.entries if bar.entries is not None else []
+                entries = [(e["candidate_id"], e["stop"], e["target"]) for e in entries]
+                arrived.append(((bar.session - EPOCH).days, (bar.open, bar.high, bar.low, bar.close), entries))
+        yield self.advance(key, arrived, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self.advance(key, [], timerValues.getCurrentWatermarkInMs())
+
+    def advance(self, key, arrived: list, watermark: int) -> pd.DataFrame:
+        """Take all bars that are due and leave the others waiting; exits and late bars as rows."""
+        last = self.last.get()[0] if self.last.exists() else None
+        queue, late = {}, []
+        for day, prices, entries in self._load() + arrived:
+            if day in queue or (last is not None and day <= last):
+                late.append((None, key[0], EPOCH + dt.timedelta(day), "late_bar", float(prices[3]), len(entries)))
+            else:
+                queue[day] = (prices, entries)
+        limit = watermark // DAY_MS - self.delay
+        due = sorted(day for day in queue if day <= limit)
+        closed = self._take(key, [(day, *queue.pop(day)) for day in due])
+        if due:
+            self.last.update((due[-1],))
+        self._store(queue, bool(due or arrived))
+        columns = ["candidate_id", "security_id", "exit_session", "exit_reason", "exit_price", "sessions_held"]
+        return pd.DataFrame(closed + late, columns=columns)
+
+    def _take(self, key, bars: list) -> list[tuple]:
+        if not bars:
+            return []
+        ids, stops, targets, held = [], np.zeros(0), np.zeros(0), np.zeros(0, int)
         if self.open.exists():
             ids, stops, targets, held = self.open.get()
-            book = list(zip(ids, stops, targets, held))
-        closed = []
-        for bar in bars.itertuples(index=False):
-            positions = [(*p[:3], p[3] + 1, True) for p in book]
-            entries = bar.entries if bar.entries is not None else []
-            positions += [(e["candidate_id"], e["stop"], e["target"], 1, False) for e in entries]
-            book = []
-            for candidate, stop, target, held, carried in positions:
-                result = step(bar, stop, target, held, self.hold, carried)
-                if result is None:
-                    book.append((candidate, stop, target, held))
-                else:
-                    closed.append((candidate, key[0], bar.session, result[0], float(result[1]), held))
-        if book:
-            self.open.update(tuple(list(column) for column in zip(*book)))
-        elif self.open.exists():
+            ids, stops, targets, held = list(ids), np.asarray(stops, float), np.asarray(targets, float), np.asarray(held, int)
+        carried, closed = bool(ids), []
+        for day, prices, entries in bars:
+            if entries:
+                ids = ids + [e[0] for e in entries]
+                stops = np.concatenate((stops, np.array([e[1] for e in entries], float)))
+                targets = np.concatenate((targets, np.array([e[2] for e in entries], float)))
+                held = np.concatenate((held, np.zeros(len(entries), int)))
+            if not ids:
+                continue
+            held = held + 1
+            reason, price = touched(prices, stops, targets, held, self.hold)
+            out = reason != ""
+            if out.any():
+                session = EPOCH + dt.timedelta(day)
+                closed += [(ids[i], key[0], session, str(reason[i]), float(price[i]), int(held[i])) for i in np.flatnonzero(out)]
+                stay = np.flatnonzero(~out)
+                ids, stops, targets, held = [ids[i] for i in stay], stops[stay], targets[stay], held[stay]
+        if ids:
+            self.open.update((ids, stops.tolist(), targets.tolist(), held.tolist()))
+        elif carried:
             self.open.clear()
-        names = ["candidate_id", "security_id", "exit_session", "exit_reason", "exit_price", "sessions_held"]
-        yield pd.DataFrame(closed, columns=names)
+        return closed
+
+    def _load(self) -> list:
+        if not self.waiting.exists():
+            return []
+        days, *prices, counts, ids, stops, targets = self.waiting.get()
+        entries, ends = list(zip(ids, stops, targets)), np.cumsum(counts).tolist()
+        return [(day, bar, entries[end - n : end]) for day, bar, n, end in zip(days, zip(*prices), counts, ends)]
+
+    def _store(self, queue: dict, changed: bool) -> None:
+        """Write what waits and set the timer of its first bar."""
+        if not queue:
+            if self.waiting.exists():
+                self.waiting.clear()
+            return
+        if changed:
+            prices = [[float(queue[day][0][i]) for day in queue] for i in range(4)]
+            entries = [e for day in queue for e in queue[day][1]]
+            counts = [len(queue[day][1]) for day in queue]
+            self.waiting.update((list(queue), *prices, counts, *([e[i] for e in entries] for i in range(3))))
+        # One millisecond early: a timer fires when the watermark is past it.
+        self.handle.registerTimer((min(queue) + self.delay) * DAY_MS - 1)
 
     def close(self) -> None:
         pass
 
 
-def track_positions(bars: DataFrame, hold: int = 21) -> DataFrame:
-    """Stream of exits from a stream of bars with their entries."""
-    return bars.groupBy("security_id").transformWithStateInPandas(
-        PositionTracker(hold), outputStructType=OUTPUT, outputMode="append", timeMode="none"
+def track_positions(bars: DataFrame, hold: int = 21, delay: int = 0) -> DataFrame:
+    """Stream of exits, and of bars that came too late, from a stream of bars with their entries.
+
+    Batches may bring sessions in any order within ``delay`` days of the newest session seen by any
+    security; so a row without entries of a security of its own serves as the close of a day. Rows
+    without a security or a session are left out.
+    """
+    clock = F.timestamp_seconds((F.unix_date("session").cast("bigint") + HORIZON_DAYS) * 86400)
+    timed = bars.where("security_id IS NOT NULL AND session IS NOT NULL").withColumn("_clock", clock)
+    return (
+        timed.withWatermark("_clock", f"{HORIZON_DAYS} days")
+        .groupBy("security_id")
+        .transformWithStateInPandas(PositionTracker(hold, delay), outputStructType=OUTPUT, outputMode="append", timeMode="EventTime")
     )
+
+
+def exits(tracked: DataFrame) -> DataFrame:
+    return tracked.where("exit_reason <> 'late_bar'")
+
+
+def late_bars(tracked: DataFrame) -> DataFrame:
+    """Bars that came after a later session of their security had been taken; ``entries`` on them were not opened."""
+    late = tracked.where("exit_reason = 'late_bar'")
+    return late.select("security_id", F.col("exit_session").alias("session"), F.col("exit_price").alias("close"), F.col("sessions_held").alias("entries"))

@@ -38,6 +38,43 @@ def test_position_tracker_carries_state_across_batches(spark, tmp_path):
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
 
 
+def test_position_tracker_orders_bars_over_batches_and_reports_late_ones(spark, tmp_path):
+    runs.use_rocksdb(spark)
+    days = business_days("2024-01-02", "2024-03-15")
+    bars = noisy(spark, days, 1, "A").unionByName(noisy(spark, days, 2, "B"))
+    entries = bars.crossJoin(spark.range(3).select(F.col("id").alias("k"))).select(
+        F.concat_ws("-", "security_id", F.col("session").cast("string"), "k").alias("candidate_id"), "security_id",
+        F.col("session").alias("entry_session"), (F.col("open") - 3 - F.col("k")).alias("stop"), (F.col("open") + 4 + F.col("k")).alias("target"),
+    )
+    per_bar = entries.groupBy("security_id", F.col("entry_session").alias("session")).agg(
+        F.collect_list(F.struct("candidate_id", "stop", "target")).alias("entries")
+    )
+    feed = bars.drop("volume").join(per_bar, ["security_id", "session"]).persist()
+    # Sessions of seven days are dealt over batches in reverse order, far within the delay of ten days.
+    number = F.floor((F.datediff("session", F.lit(days[0])) + F.pmod(-F.dayofyear("session"), F.lit(7))) / 14)
+    inbox, out, state = (str(tmp_path / n) for n in ("inbox", "out", "state"))
+
+    def batch(rows):
+        rows.coalesce(1).write.mode("append").parquet(inbox)
+        stream = PS.track_positions(spark.readStream.schema(feed.schema).parquet(inbox), hold=21, delay=10)
+        stream.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+
+    numbers = sorted(r[0] for r in feed.select(number).distinct().collect())
+    for n in numbers:
+        batch(feed.where(number == n))
+    closing = spark.createDataFrame([("~", D(2024, 4, 30), 0.0, 0.0, 0.0, 0.0)], "security_id string, session date, open double, high double, low double, close double")
+    batch(feed.where(F.col("session") == days[3]).unionByName(closing, allowMissingColumns=True))
+    batch(feed.where(F.col("session") == days[5]).where("security_id = 'A'"))
+    batch(feed.where(F.col("session") > days[-1]).unionByName(closing.withColumn("session", F.lit(None).cast("date")), allowMissingColumns=True))
+    tracked = spark.read.parquet(out)
+    pick = ["candidate_id", "exit_session", "exit_reason", F.round("exit_price", 6), "sessions_held"]
+    got, want = PS.exits(tracked).select(pick), X.label_outcomes(entries, bars, 21).where("exit_reason IS NOT NULL").select(pick)
+    assert len(numbers) > 4 and got.count() > 100
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    late = sorted(tuple(r) for r in PS.late_bars(tracked).select("security_id", "session", "entries").collect())
+    assert late == [("A", days[3], 3), ("A", days[5], 3), ("B", days[3], 3)]
+
+
 def test_forward_ledger_decisions(spark, tmp_path):
     days = business_days("2024-01-02", "2024-01-09")
     rows = spark.createDataFrame([(d, s, float(i)) for i, d in enumerate(days) for s in ("A", "B")], "session date, security_id string, v double")
