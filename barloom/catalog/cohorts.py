@@ -28,27 +28,27 @@ view("v_coh", """
 SELECT m.cohort, r.session, sum(r.equity) AS equity, s.n, 100000 * s.n AS start
 FROM v_members m JOIN v_real r USING (strategy_id) JOIN v_sizes s USING (cohort) GROUP BY m.cohort, r.session, s.n""")
 view("v_results", """
-SELECT strategy_id, ending - 100000 AS profit, CAST(ending - 100000 AS DOUBLE) / 100000 AS ret, n AS trades
-FROM v_core JOIN (SELECT strategy_id, count(*) AS n FROM v_trades GROUP BY 1) USING (strategy_id)""")
+SELECT strategy_id, ending - 100000 AS profit, CAST(ending - 100000 AS DOUBLE) / 100000 AS ret, coalesce(n, 0) AS trades
+FROM v_core LEFT JOIN (SELECT strategy_id, count(*) AS n FROM v_trades GROUP BY 1) USING (strategy_id)""")
 view("v_books", """
 SELECT strategy_id, count(*) FILTER (WHERE exit_session <= DATE '1995-03-31') AS closed,
   count(*) FILTER (WHERE entry_session <= DATE '1995-03-31' AND exit_session > DATE '1995-03-31') AS opened,
   100000 + coalesce(sum(gross_pnl) FILTER (WHERE exit_session <= DATE '1995-03-31'), 0) AS cur
-FROM v_trades WHERE strategy_id <> 'Brand#7' GROUP BY 1""")
+FROM v_trades GROUP BY 1""")
 
 
 def _real(spark, sf):
-    return Q.realized_equity(M.trades(spark, sf), M.calendar(spark, sf), M.CAPITAL)
+    return Q.realized_equity(M.trades(spark, sf), M.calendar(spark, sf), M.CAPITAL, strategies=M.strategies(spark, sf))
 
 
 def _results(spark, sf):
     trades = M.trades(spark, sf)
     counts = trades.groupBy("strategy_id").agg(F.count(F.lit(1)).alias("trades"))
-    return T.core_result(_real(spark, sf), capital()).join(counts, "strategy_id")
+    return T.core_result(_real(spark, sf), capital()).join(counts, "strategy_id", "left").fillna(0, ["trades"])
 
 
 def _books(spark, sf):
-    trades = M.trades(spark, sf).where("strategy_id <> 'Brand#7'")
+    trades = M.trades(spark, sf)
     return C.books_as_of(trades, F.to_date(F.lit("1995-03-31")), M.CAPITAL)
 
 

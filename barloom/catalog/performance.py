@@ -28,7 +28,7 @@ def q(name, sql=None):
 
 view("v_real", """
 SELECT strategy_id, ord, session, 100000 + coalesce(sum(pnl) OVER (PARTITION BY strategy_id ORDER BY ord), 0) AS equity
-FROM (SELECT strategy_id, ord, session FROM (SELECT DISTINCT strategy_id FROM v_trades) CROSS JOIN v_calendar)
+FROM (SELECT strategy_id, ord, session FROM v_strategies CROSS JOIN v_calendar)
 LEFT JOIN (SELECT strategy_id, exit_ord AS ord, sum(gross_pnl) AS pnl FROM v_trades GROUP BY 1, 2) USING (strategy_id, ord)""")
 view("v_marked", """
 SELECT t.strategy_id, c.ord, sum(t.quantity * CAST(b.close AS DECIMAL(12,2))) AS value
@@ -37,7 +37,7 @@ ASOF JOIN v_bars b ON b.security_id = t.security_id AND b.session <= c.session G
 view("v_curve", """
 SELECT g.strategy_id, g.ord, g.session, 100000 + coalesce(sum(flow) OVER (PARTITION BY g.strategy_id ORDER BY g.ord), 0) AS cash,
        coalesce(value, 0) AS position_value
-FROM (SELECT strategy_id, ord, session FROM (SELECT DISTINCT strategy_id FROM v_trades) CROSS JOIN v_calendar) g
+FROM (SELECT strategy_id, ord, session FROM v_strategies CROSS JOIN v_calendar) g
 LEFT JOIN (SELECT strategy_id, ord, sum(amount) AS flow FROM (
    SELECT strategy_id, entry_ord AS ord, -quantity * entry_price AS amount FROM v_trades UNION ALL
    SELECT strategy_id, exit_ord, quantity * exit_price FROM v_trades) GROUP BY 1, 2) f USING (strategy_id, ord)
@@ -52,7 +52,7 @@ SELECT strategy_id, last(equity ORDER BY session) AS ending, max(1 - CAST(equity
 
 def _real(spark, sf):
     cal = M.calendar(spark, sf)
-    return Q.realized_equity(M.trades(spark, sf), cal, M.CAPITAL)
+    return Q.realized_equity(M.trades(spark, sf), cal, M.CAPITAL, strategies=M.strategies(spark, sf))
 
 
 @q("equity_curve", with_views("""
@@ -60,7 +60,7 @@ SELECT strategy_id, CAST(session AS VARCHAR) AS session, CAST(cash AS DOUBLE) AS
        CAST(cash + position_value AS DOUBLE) AS equity,
        round(coalesce(CAST(position_value AS DOUBLE) / nullif(CAST(cash + position_value AS DOUBLE), 0), 0), 8) AS deployed_fraction FROM v_curve"""))
 def equity_curve(spark, sf):
-    curve = Q.equity_curve(M.trades(spark, sf), M.bars(spark, sf), M.calendar(spark, sf), M.CAPITAL)
+    curve = Q.equity_curve(M.trades(spark, sf), M.bars(spark, sf), M.calendar(spark, sf), M.CAPITAL, M.strategies(spark, sf))
     return present(curve.drop("ord"), deployed_fraction=8)
 
 
@@ -120,10 +120,11 @@ def performance_metrics(spark, sf):
 
 @q("turnover_breakeven", with_views("""
 SELECT strategy_id, CAST(turned AS DOUBLE) AS turned_over, round(CAST(turned AS DOUBLE) / (2 * mean_eq), 8) AS turnover,
-       round(profit / CAST(turned AS DOUBLE), 8) AS profit_per_dollar,
+       round(profit / nullif(CAST(turned AS DOUBLE), 0), 8) AS profit_per_dollar,
        CASE WHEN turned = 0 THEN 'undefined_no_turnover' WHEN profit > 0 THEN 'defined' ELSE 'not_applicable_nonpositive_profit' END AS break_even_status,
-       round(CASE WHEN profit > 0 THEN profit / CAST(turned AS DOUBLE) END, 8) AS break_even_cost
-FROM (SELECT strategy_id, sum(quantity * entry_price) + sum(quantity * exit_price) AS turned FROM v_trades GROUP BY 1)
+       round(CASE WHEN profit > 0 THEN profit / nullif(CAST(turned AS DOUBLE), 0) END, 8) AS break_even_cost
+FROM (SELECT strategy_id, coalesce(sum(quantity * entry_price) + sum(quantity * exit_price), 0) AS turned
+      FROM v_strategies LEFT JOIN v_trades USING (strategy_id) GROUP BY 1)
 JOIN (SELECT strategy_id, CAST(sum(equity) AS DOUBLE) / count(*) AS mean_eq, CAST(last(equity ORDER BY session) - 100000 AS DOUBLE) AS profit
       FROM v_real GROUP BY 1) USING (strategy_id)"""))
 def turnover_breakeven(spark, sf):
@@ -144,7 +145,7 @@ def trade_distributions(spark, sf):
 SELECT strategy_id, round(avg(f), 8) AS mean, round(max(f), 8) AS maximum FROM (
   SELECT strategy_id, coalesce(CAST(position_value AS DOUBLE) / nullif(CAST(cash + position_value AS DOUBLE), 0), 0) AS f FROM v_curve) GROUP BY 1"""))
 def exposure(spark, sf):
-    curve = Q.equity_curve(M.trades(spark, sf), M.bars(spark, sf), M.calendar(spark, sf), M.CAPITAL)
+    curve = Q.equity_curve(M.trades(spark, sf), M.bars(spark, sf), M.calendar(spark, sf), M.CAPITAL, M.strategies(spark, sf))
     return present(T.exposure(curve), 8)
 
 
@@ -210,17 +211,18 @@ def trade_to_strategy(spark, sf):
 
 
 @q("reconciliation_audit", with_views("""
-SELECT r.strategy_id, r.ending = 100000 + t.pnl AS ending_matches, c.filled = t.n AS fills_match, c.n = c.filled + c.rejected AS orders_covered
+SELECT r.strategy_id, r.ending = 100000 + coalesce(t.pnl, 0) AS ending_matches, coalesce(c.filled, 0) = coalesce(t.n, 0) AS fills_match,
+  coalesce(c.n, 0) = coalesce(c.filled + c.rejected, 0) AS orders_covered
 FROM (SELECT strategy_id, last(equity ORDER BY session) AS ending FROM v_real GROUP BY 1) r
-JOIN (SELECT strategy_id, sum(gross_pnl) AS pnl, count(*) AS n FROM v_trades GROUP BY 1) t USING (strategy_id)
-JOIN (SELECT strategy_id, count(*) AS n, count(*) FILTER (WHERE status = 'filled') AS filled, count(*) FILTER (WHERE status = 'rejected') AS rejected
+LEFT JOIN (SELECT strategy_id, sum(gross_pnl) AS pnl, count(*) AS n FROM v_trades GROUP BY 1) t USING (strategy_id)
+LEFT JOIN (SELECT strategy_id, count(*) AS n, count(*) FILTER (WHERE status = 'filled') AS filled, count(*) FILTER (WHERE status = 'rejected') AS rejected
       FROM v_cand GROUP BY 1) c USING (strategy_id)"""))
 def reconciliation_audit(spark, sf):
     return present(T.reconciliation(M.candidates(spark, sf), M.trades(spark, sf), _real(spark, sf), capital()))
 
 
 @q("metric_invariants", with_views("""
-SELECT strategy_id, rule, true AS holds FROM (SELECT DISTINCT strategy_id FROM v_trades) CROSS JOIN (VALUES ('drawdown_not_negative'),
+SELECT strategy_id, rule, true AS holds FROM v_strategies CROSS JOIN (VALUES ('drawdown_not_negative'),
  ('profit_reconciles'), ('counts_cover'), ('trades_are_fills'), ('outcomes_cover'), ('gains_and_losses_sum'), ('ratio_matches_status')) r(rule)"""))
 def metric_invariants(spark, sf):
     return present(T.invariants(M.candidates(spark, sf), M.trades(spark, sf), _real(spark, sf), capital()))

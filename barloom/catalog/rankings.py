@@ -32,10 +32,13 @@ view("v_win", """
 SELECT kind, strategy_id, session, closed, 100000 + sum(pnl) OVER (PARTITION BY kind, strategy_id ORDER BY session) AS equity
 FROM (SELECT s.kind, strategy_id, exit_session AS session, sum(gross_pnl) AS pnl, count(*) AS closed
       FROM v_trades t JOIN v_split s ON s.session = t.entry_session GROUP BY 1, 2, 3)""")
-view("v_rev0", """
-SELECT kind, strategy_id, sha256(strategy_id) AS identity, last(equity ORDER BY session) - 100000 AS profit,
+view("v_traded", """
+SELECT kind, strategy_id, last(equity ORDER BY session) - 100000 AS profit,
   max(1 - CAST(equity AS DOUBLE) / CAST(peak AS DOUBLE)) AS dd, CAST(sum(closed) AS BIGINT) AS trades
 FROM (SELECT *, greatest(100000, max(equity) OVER (PARTITION BY kind, strategy_id ORDER BY session)) AS peak FROM v_win) GROUP BY 1, 2""")
+view("v_rev0", """
+SELECT kind, strategy_id, sha256(strategy_id) AS identity, coalesce(t.profit, 0) AS profit, coalesce(t.dd, 0) AS dd, coalesce(t.trades, 0) AS trades
+FROM (SELECT DISTINCT kind FROM v_split) CROSS JOIN v_strategies LEFT JOIN v_traded t USING (kind, strategy_id)""")
 view("v_rev", """
 SELECT *, CASE WHEN dd = 0 AND profit > 0 THEN 0 WHEN dd = 0 THEN 2 ELSE 1 END AS st,
        CASE WHEN dd <> 0 THEN CAST(profit AS DOUBLE) / 100000 / dd END AS ratio FROM v_rev0""")
@@ -68,7 +71,7 @@ FROM v_trades t JOIN v_split s ON s.session = t.entry_session WHERE s.kind IN ('
 
 def _ranked(spark, sf):
     split = S.chronological_split(M.calendar(spark, sf))
-    return R.leaderboards(R.window_results(M.trades(spark, sf), split, capital()))
+    return R.leaderboards(R.window_results(M.trades(spark, sf), split, capital(), M.strategies(spark, sf)))
 
 
 def _wide(spark, sf):

@@ -114,7 +114,7 @@ WINDOW w AS (PARTITION BY strategy_id ORDER BY session)"""
 
 
 def _session_rows(spark, sf):
-    curve = Q.realized_equity(M.trades(spark, sf), M.calendar(spark, sf), M.CAPITAL)
+    curve = Q.realized_equity(M.trades(spark, sf), M.calendar(spark, sf), M.CAPITAL, strategies=M.strategies(spark, sf))
     return BK.session_rows(M.candidates(spark, sf), curve)
 
 
@@ -245,9 +245,9 @@ def stream_pending_entries(spark, sf):
     return present(runs.run_available(PD.enter_pending(signals, bars), "pending"), 6)
 
 
-@q("forward_initial_books", """
-SELECT DISTINCT p_brand AS strategy_id, '1995-01-02' AS first_session, CAST(100000 AS DOUBLE) AS starting_equity, CAST(100000 AS DOUBLE) AS current_equity,
-  CAST(0 AS BIGINT) AS closed_trades, CAST(0 AS BIGINT) AS open_positions FROM part""")
+@q("forward_initial_books", with_views("""
+SELECT strategy_id, '1995-01-02' AS first_session, CAST(100000 AS DOUBLE) AS starting_equity, CAST(100000 AS DOUBLE) AS current_equity,
+  CAST(0 AS BIGINT) AS closed_trades, CAST(0 AS BIGINT) AS open_positions FROM v_strategies"""))
 def forward_initial_books(spark, sf):
     strategies = M.cohort_members(spark, sf).where("cohort = 'ALL'")
     return present(FW.initial_books(strategies, M.CAPITAL, dt.date(1995, 1, 2)))

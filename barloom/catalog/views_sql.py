@@ -107,11 +107,13 @@ JOIN v_calendar x ON x.ord = e.ord + l_orderkey % 21
 JOIN part ON p_partkey = l.l_partkey""")
 view("v_trades", "SELECT * FROM v_cand WHERE status = 'filled'")
 
+view("v_strategies", "SELECT DISTINCT p_brand AS strategy_id FROM part WHERE p_brand IS NOT NULL UNION SELECT 'Brand#99'")
+
 view("v_members", """
-SELECT 'ALL' AS cohort, strategy_id FROM (SELECT DISTINCT p_brand AS strategy_id FROM part)
+SELECT 'ALL' AS cohort, strategy_id FROM v_strategies
 UNION ALL
 SELECT CASE WHEN CAST(regexp_extract(strategy_id, '(\\d+)$', 1) AS INTEGER) <= 13 THEN 'CORE' ELSE 'FRINGE' END,
-       strategy_id FROM (SELECT DISTINCT p_brand AS strategy_id FROM part)""")
+       strategy_id FROM v_strategies""")
 
 view("v_schedule", """
 SELECT 'S' || o_custkey AS security_id, o_orderkey AS event_id, CAST(o_orderdate AS DATE) AS event_session,

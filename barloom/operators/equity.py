@@ -22,12 +22,17 @@ def _every_session(strategies: DataFrame, calendar: DataFrame, key: str) -> Data
     return grid.join(small(calendar.select("ord", "session")), "ord")
 
 
-def realized_equity(trades: DataFrame, calendar: DataFrame, capital: float, key: str = "strategy_id") -> DataFrame:
-    """Capital plus profit of trades closed up to each session."""
+def realized_equity(
+    trades: DataFrame, calendar: DataFrame, capital: float, key: str = "strategy_id", strategies: DataFrame | None = None
+) -> DataFrame:
+    """Capital plus profit of trades closed up to each session, for every one of ``strategies``.
+
+    Without that list the strategies are those with a trade. One without trades stays at the capital.
+    """
     daily = trades.groupBy(key, F.col("exit_ord").alias("ord")).agg(F.sum("gross_pnl").alias("pnl"))
     order = Window.partitionBy(key).orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        _every_session(trades, calendar, key)
+        _every_session(trades if strategies is None else strategies, calendar, key)
         .join(daily, [key, "ord"], "left")
         .select(
             key,
@@ -51,7 +56,9 @@ def dense_closes(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     )
 
 
-def equity_curve(trades: DataFrame, bars: DataFrame, calendar: DataFrame, capital: float) -> DataFrame:
+def equity_curve(
+    trades: DataFrame, bars: DataFrame, calendar: DataFrame, capital: float, strategies: DataFrame | None = None
+) -> DataFrame:
     """Cash, marked position value, equity and deployed fraction per session.
 
     A trade is open from its entry through the session before its exit. Trades
@@ -88,7 +95,7 @@ def equity_curve(trades: DataFrame, bars: DataFrame, calendar: DataFrame, capita
     order = Window.partitionBy("strategy_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     zero = F.lit(0).cast(MONEY)
     curve = (
-        _every_session(trades, calendar, "strategy_id")
+        _every_session(trades if strategies is None else strategies, calendar, "strategy_id")
         .join(flows, ["strategy_id", "ord"], "left")
         .join(value, ["strategy_id", "ord"], "left")
         .withColumn("cash", (F.lit(capital).cast(MONEY) + F.coalesce(F.sum("flow").over(order), zero)).cast(MONEY))

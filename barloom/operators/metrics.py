@@ -197,7 +197,7 @@ def reconciliation(orders: DataFrame, trades: DataFrame, curve: DataFrame, capit
 
 
 def invariants(orders: DataFrame, trades: DataFrame, curve: DataFrame, capital: Column) -> DataFrame:
-    """Metric constraints as rows: (strategy, rule, holds)."""
+    """Metric constraints as rows: (strategy, rule, holds); without orders or trades their counts are zero."""
     core = core_result(curve, capital)
     counts = order_counts(orders)
     pnl = F.col("gross_pnl")
@@ -206,7 +206,8 @@ def invariants(orders: DataFrame, trades: DataFrame, curve: DataFrame, capital:
         F.count(F.lit(1)).alias("t"), F.sum(pnl).alias("total"),
         F.sum(F.when(pnl > 0, pnl).otherwise(0)).alias("gains"), F.sum(F.when(pnl < 0, pnl).otherwise(0)).alias("losses"),
     )
-    joined = core.join(counts, "strategy_id").join(mix, "strategy_id")
+    joined = core.join(counts, "strategy_id", "left").join(mix, "strategy_id", "left")
+    joined = joined.fillna(0, ["orders", "filled", "rejected", "w", "l", "f", "t", "total", "gains", "losses"])
     checks = {
         "drawdown_not_negative": F.col("maximum_drawdown") >= 0,
         "profit_reconciles": F.col("gross_profit") == F.col("ending_equity") - F.col("starting_capital"),

@@ -19,14 +19,24 @@ AXES = ("profit", "drawdown", "ratio")
 AXIS_LABELS = {"profit": "Gross profit", "drawdown": "Lowest maximum drawdown", "ratio": "Profit/drawdown"}
 
 
-def window_results(trades: DataFrame, split: DataFrame, capital: Column) -> DataFrame:
-    """Result per (window, strategy) of trades entered inside the window."""
+def window_results(trades: DataFrame, split: DataFrame, capital: Column, strategies: DataFrame) -> DataFrame:
+    """Result per (window, strategy) of trades entered inside the window.
+
+    The field is ``strategies`` in every window: each opens it at the capital, so one without trades
+    has no profit, no drawdown and a rank like any other. Trades of strategies outside the list don't count.
+    """
     kinds = split.select(F.col("session").alias("entry_session"), "kind")
     keys = ["kind", "strategy_id"]
+    field = strategies.select("strategy_id").distinct()
+    windows = split.groupBy("kind").agg(F.min("session").alias("session"))
+    windows = windows.agg(F.collect_list(F.struct("kind", "session")).alias("w")).select("w").scalar()
+    opening = field.select("strategy_id", F.inline(windows)).select(*keys, "session", F.lit(0).alias("gross_pnl"), F.lit(0).alias("n"))
+    closing = trades.join(small(kinds), "entry_session").join(field, "strategy_id", "left_semi")
+    closing = closing.select(*keys, F.col("exit_session").alias("session"), "gross_pnl", F.lit(1).alias("n"))
     daily = (
-        trades.join(small(kinds), "entry_session")
-        .groupBy(*keys, F.col("exit_session").alias("session"))
-        .agg(F.sum("gross_pnl").alias("pnl"), F.count(F.lit(1)).alias("closed"))
+        closing.unionByName(opening)
+        .groupBy(*keys, "session")
+        .agg(F.sum("gross_pnl").alias("pnl"), F.sum("n").alias("closed"))
     )
     order = Window.partitionBy(*keys).orderBy("session").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     curve = daily.withColumn("equity", (capital + F.sum("pnl").over(order)).cast("decimal(28,2)"))

@@ -18,6 +18,10 @@ CAPITAL = 100_000
 TICK = ("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
 
 
+#: Declared and never traded, so that the field holds a strategy without trades at every size.
+IDLE_STRATEGY = "Brand#99"
+
+
 def tick_number() -> Column:
     """The tick columns packed into one number with the same order.
 
@@ -161,9 +165,15 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates(spark, sf_dir).where(F.col("status") == "filled").drop("status", "reason")
 
 
+def strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every declared strategy: the brands, and one that never trades."""
+    brands = table(spark, sf_dir, "part").select(F.col("p_brand").alias("strategy_id"))
+    return brands.union(spark.createDataFrame([(IDLE_STRATEGY,)], "strategy_id string")).where("strategy_id IS NOT NULL").distinct()
+
+
 def cohort_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ALL = CORE + FRINGE, split by brand number."""
-    brands = table(spark, sf_dir, "part").select(F.col("p_brand").alias("strategy_id")).distinct()
+    brands = strategies(spark, sf_dir)
     number = F.regexp_extract("strategy_id", r"(\d+)$", 1).cast("int")
     names = F.array(F.lit("ALL"), F.when(number <= 13, "CORE").otherwise("FRINGE"))
     return brands.select(F.explode(names).alias("cohort"), "strategy_id")
