@@ -85,15 +85,14 @@ def indicator_overlay(spark, sf):
 
 
 @q("ranked_entries", with_views("""
-SELECT kind, profit_rank AS rank, identity, upper(strategy_id) AS name FROM v_ranked WHERE profit_rank <= 7"""))
+SELECT kind, axis, place AS rank, identity, upper(strategy_id) AS name FROM v_axis WHERE place <= 7"""))
 def ranked_entries(spark, sf):
-    ranked = RK._ranked(spark, sf)
-    lists = ranked.groupBy("kind").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("profit_rank", "identity"))), lambda r: r["identity"]).alias("entries")
+    axes = F.array(*[F.struct(F.lit(a).alias("axis"), F.col(f"{a}_rank").alias("place")) for a in ("profit", "drawdown", "ratio")])
+    places = RK._ranked(spark, sf).select("kind", "identity", F.inline(axes))
+    lists = places.groupBy("kind", "axis").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("place", "identity"))), lambda r: r["identity"]).alias("entries")
     )
-    names = M.cohort_members(spark, sf).select(
-        F.sha2("strategy_id", 256).alias("identity"), F.upper("strategy_id").alias("name")
-    ).distinct()
+    names = M.strategies(spark, sf).select(F.sha2("strategy_id", 256).alias("identity"), F.upper("strategy_id").alias("name"))
     return present(P.ranked_entries(lists, "entries", names, "identity", 7))
 
 

@@ -1,12 +1,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import random
+import statistics
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from barloom.functions import canonical
 from barloom.operators import asof, features as X, rules as R, scaled, signals as SG
 from barloom.plans import grid, study
 from test_bars_and_sessions import business_days, calendar, ramp
@@ -97,6 +100,18 @@ def test_sliced_asof_equals_plain(spark):
     assert frame["s"].astype(object).where(frame["s"].notna(), None).tolist() == want.astype(object).where(want.notna(), None).tolist()
 
 
+def test_median_buckets_stay_even_under_a_long_tail(spark):
+    crowd = [("t", i / 1e6) for i in range(4000)]
+    tail = [("t", 10.0 ** (1 + i / 40)) for i in range(321)]
+    rows = [*crowd, *tail, ("one", 5.0), *[("two", v) for v in (1.0, -1e12)], *[("same", 3.0)] * 50, ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    counts = df.where("v IS NOT NULL").groupBy("g", F.col("v").alias("_v")).agg(F.count("*").alias("_n"))
+    sizes = scaled.value_buckets(counts, ["g"], 128).where("g = 't'").groupBy("_b").count()
+    assert sizes.agg(F.max("count")).first()[0] <= len(crowd + tail) / 100
+    got = {r["g"]: r["median"] for r in scaled.exact_median(df, ["g"], "v").collect()}
+    assert got == {"t": statistics.median(v for _, v in crowd + tail), "one": 5.0, "two": (1.0 - 1e12) / 2, "same": 3.0}
+
+
 def test_exact_median_and_bucketed_rank(spark):
     rng = random.Random(5)
     rows = [(g, round(rng.gauss(0, 50), 2)) for g in "abc" for _ in range(301 if g == "a" else 200)]
@@ -109,3 +124,10 @@ def test_exact_median_and_bucketed_rank(spark):
     for _, part in frame.groupby("g"):
         assert part["priority_rank"].tolist() == list(range(1, len(part) + 1))
         assert part["v"].is_monotonic_decreasing
+
+
+def test_canonical_json_escapes_as_ascii(spark):
+    texts = ["plain", "Café", "\U0001d11e\U0001f600 x", "\x00\x07\x1f\x7f", "a\\u001F \\\\ \"q\" /", "\b\t\n\f\r", "", "￿ "]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").select("t", canonical.canonical_json(b=F.col("t"), a=F.lit(1)).alias("j"))
+    for row in df.collect():
+        assert row["j"] == json.dumps({"a": 1, "b": row["t"]}, separators=(",", ":"))

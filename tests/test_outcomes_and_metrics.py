@@ -90,6 +90,24 @@ def test_single_trade_metrics(spark):
     assert held["median"] == 2
 
 
+def test_strategies_without_trades_are_in_the_field(spark):
+    cal = calendar(spark, "2024-01-02", "2024-01-12")
+    trade = one_trade(spark, cal, D(2024, 1, 2), D(2024, 1, 4), "90.00")
+    field = spark.createDataFrame([("s",), ("idle",), ("idle",)], "strategy_id string")
+    capital = F.lit(100_000).cast("decimal(28,2)")
+    core = {r["strategy_id"]: r for r in T.core_result(Q.realized_equity(trade, cal, 100_000, strategies=field), capital).collect()}
+    assert core.keys() == {"s", "idle"} and core["idle"]["ending_equity"] == 100_000 and core["idle"]["maximum_drawdown"] == 0
+    split = cal.select("session", F.when(F.col("session") < "2024-01-08", "first").otherwise("second").alias("kind"))
+    got = R.leaderboards(R.window_results(trade, split, capital, field)).collect()
+    rows = {(r["kind"], r["strategy_id"]): (r["gross_profit"], r["trades"], r["profit_rank"]) for r in got}
+    assert len(got) == 4 and rows["first", "idle"] == (0, 0, 1) and rows["first", "s"] == (-1000, 1, 2)
+    assert {rows["second", s][:2] for s in ("s", "idle")} == {(0, 0)}
+    nothing = trade.limit(0)
+    assert {r["trades"] for r in R.window_results(nothing, split, capital, field).collect()} == {0}
+    checks = T.invariants(nothing, nothing, Q.realized_equity(nothing, cal, 100_000, strategies=field), capital)
+    assert checks.count() == 14 and checks.where("NOT holds OR holds IS NULL").isEmpty()
+
+
 def test_trade_carried_over_year_end(spark):
     cal = calendar(spark, "2023-12-28", "2024-01-03")
     trade = one_trade(spark, cal, D(2023, 12, 28), D(2024, 1, 2), "110.00")
