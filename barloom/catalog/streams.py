@@ -9,8 +9,8 @@ from pyspark.sql import Window, functions as F
 from barloom.catalog import performance  # noqa: F401  (registers the views used below)
 from barloom.catalog.common import present
 from barloom.catalog.views_sql import with_views
-from barloom.operators import equity as Q
-from barloom.operators.sessions import session_calendar
+from barloom.operators import equity as Q, gate as G
+from barloom.operators.sessions import session_calendar, small
 from barloom.plans import study
 from barloom.session import persist_table, work_dir
 from barloom.sources import market_views as M
@@ -267,3 +267,41 @@ SELECT security_id, event_id, CAST(event_session AS VARCHAR) AS event_session, C
 FROM v_schedule WHERE known_session <= DATE '1998-06-30' AND DATE '1998-06-30' < coalesce(superseded_session, DATE '9999-12-31') AND event_session > DATE '1998-06-30'"""))
 def forward_known_schedule(spark, sf):
     return present(FW.known_by(M.schedule(spark, sf), dt.date(1998, 6, 30)))
+
+
+_FRAMES = """
+SELECT m.as_of, b.security_id, b.session, b.volume FROM v_bars b JOIN v_months m ON m.month = date_trunc('month', b.session)
+UNION ALL SELECT p.as_of, b.security_id, b.session, CASE WHEN day(b.session) < 20 THEN b.volume END
+FROM v_bars b JOIN v_months p ON p.month = date_trunc('month', b.session) - INTERVAL 1 MONTH WHERE day(b.session) % 7 = 3 AND b.security_id LIKE '%1'
+UNION ALL SELECT m.as_of, b.security_id, b.session, b.volume FROM v_bars b JOIN v_months m ON m.month = date_trunc('month', b.session)
+WHERE day(b.session) % 9 = 4 AND b.security_id LIKE '%2'"""
+
+
+@q("session_gate", with_views("""
+SELECT CAST(as_of AS VARCHAR) AS as_of, problem, count(*) AS violations, min(security_id) AS first_security FROM (
+ SELECT w.as_of, w.security_id, unnest(list_filter([
+   CASE WHEN newest IS NULL THEN 'no_data' END, CASE WHEN newest IS NOT NULL AND last IS DISTINCT FROM w.as_of THEN 'last_bar' END,
+   CASE WHEN newest > w.as_of THEN 'later_rows' END, CASE WHEN repeated THEN 'repeated_session' END, CASE WHEN broken THEN 'missing_value' END,
+   CASE WHEN w.security_id LIKE '%4' AND w.as_of >= DATE '1996-06-01' THEN 'not_covered' END], lambda x: x IS NOT NULL)) AS problem
+ FROM (SELECT as_of, 'S' || s_suppkey AS security_id FROM v_months, supplier) w
+ LEFT JOIN (SELECT as_of, security_id, max(session) AS newest, max(session) FILTER (WHERE session <= as_of) AS last,
+              count(*) > count(DISTINCT session) AS repeated, bool_or(volume IS NULL) AS broken FROM v_frames GROUP BY 1, 2) f USING (as_of, security_id)
+ UNION ALL SELECT as_of, NULL, 'snapshot_date' FROM v_months WHERE month(as_of) = 6) GROUP BY 1, 2""",
+    v_months="SELECT date_trunc('month', session) AS month, max(session) AS as_of FROM v_calendar GROUP BY 1", v_frames=_FRAMES))
+def session_gate(spark, sf):
+    """The month's bars of every security, delivered for its last session, with each kind of violation planted."""
+    month = F.trunc("session", "month").alias("month")
+    ends = M.calendar(spark, sf).groupBy(month).agg(F.max("session").alias("as_of"))
+    bars = M.bars(spark, sf)
+    day, placed = F.dayofmonth("session"), bars.withColumn("month", month).join(small(ends), "month")
+    before = bars.withColumn("month", F.add_months(month, -1)).join(small(ends), "month")
+    early = before.where((day % 7 == 3) & F.col("security_id").endswith("1")).withColumn("volume", F.when(day < 20, F.col("volume")))
+    again = placed.where((day % 9 == 4) & F.col("security_id").endswith("2"))
+    frames = placed.unionByName(early).unionByName(again)
+    roster = M.table(spark, sf, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("security_id"))
+    stops = F.when(F.col("security_id").endswith("4"), F.lit(dt.date(1996, 6, 1))).otherwise(F.lit(dt.date(9999, 1, 1)))
+    coverage = roster.select("security_id", F.lit(dt.date(1900, 1, 1)).alias("start"), stops.alias("end"))
+    june = F.month("as_of") == 6
+    snapshots = ends.select("as_of", F.when(june, F.date_sub("as_of", 1)).otherwise(F.col("as_of")).alias("snapshot_session"))
+    found = G.session_violations(frames, roster, coverage, snapshots)
+    return present(found.groupBy("as_of", "problem").agg(F.count(F.lit(1)).alias("violations"), F.min("security_id").alias("first_security")))

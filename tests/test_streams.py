@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from barloom.operators import exits as X
+from barloom.operators import exits as X, gate as G
 from barloom.operators.sessions import session_calendar
 from barloom.streaming import forward as FW, pending as PD, positions as PS, runs
 from test_bars_and_sessions import business_days
@@ -164,3 +164,30 @@ def test_ledger_shows_changed_rows(spark, tmp_path):
     changed = rows.where(F.col("session") == days[1]).withColumn("v", F.lit(7.0))
     changed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session").parquet(str(tmp_path / "run" / "events"))
     assert [tuple(r) for r in ledger.violations({"events": rows.schema}).collect()] == [(days[1], "events", "content")]
+
+
+def test_session_gate_finds_each_violation_and_blocks_the_commit(spark, tmp_path):
+    days = business_days("2024-01-02", "2024-01-04")
+    ids = ["ok", "none", "stale", "later", "twice", "hole", "bare"]
+    bars = [(d, s, d, 1.0, 2.0, 0.5, 1.5, 10) for d in days for s in ids]
+    bad = days[1]
+    bars = [b for b in bars if not (b[0] == bad and b[1] in ("none", "stale"))]
+    bars += [(bad, "stale", days[0], 1.0, 2.0, 0.5, 1.5, 10), (bad, "later", days[2], 1.0, 2.0, 0.5, 1.5, 10)]
+    bars += [(bad, "twice", bad, 1.0, 2.0, 0.5, 1.5, 10), (bad, "other", days[2], None, None, None, None, None)]
+    bars = [(*b[:6], float("nan"), 10) if b[0] == bad and b[1] == "hole" else b for b in bars]
+    frames = spark.createDataFrame(bars, "as_of date, security_id string, session date, open double, high double, low double, close double, volume long")
+    roster = spark.createDataFrame([(s,) for s in ids], "security_id string")
+    spans = [(s, days[0], D(2025, 1, 1)) for s in ids if s != "bare"] + [("bare", days[0], bad), ("bare", days[2], D(2025, 1, 1))]
+    coverage = spark.createDataFrame(spans, "security_id string, start date, end date")
+    snapshots = spark.createDataFrame([(days[0], days[0]), (bad, days[0]), (days[2], days[2])], "as_of date, snapshot_session date")
+    found = G.session_violations(frames, roster, coverage, snapshots)
+    assert {tuple(r) for r in found.collect()} == {
+        (bad, "none", "no_data"), (bad, "stale", "last_bar"), (bad, "later", "later_rows"), (bad, "twice", "repeated_session"),
+        (bad, "hole", "missing_value"), (bad, "bare", "not_covered"), (bad, None, "snapshot_date"),
+    }
+    rows = spark.createDataFrame([(d, 1.0) for d in days], "session date, v double")
+    ledger = FW.ForwardLedger(spark, str(tmp_path / "run"), session_calendar(rows))
+    decided = ledger.offer(rows, lambda b: {"events": b}, G.gated(found))
+    assert [d[1] for d in decided] == ["accepted", "invalid", "skipped_ahead"] and ledger.control().count() == 1
+    nothing = G.session_violations(frames.limit(0), roster, coverage, snapshots.limit(1))
+    assert {r["problem"] for r in nothing.collect()} == {"no_data"}
