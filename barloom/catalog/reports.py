@@ -8,8 +8,9 @@ from barloom.catalog import rankings as RK
 from barloom.catalog.common import present
 from barloom.catalog.views_sql import _roll, with_views
 from barloom.operators import quality as Y, reports as P, signals as SG
+from barloom.operators.feature_state import FeatureStore
 from barloom.plans import study
-from barloom.session import work_dir
+from barloom.session import persist_table, work_dir
 from barloom.sources import files as FI, json_lines as J, market_views as M, sinks
 
 QUERIES, ORACLE = {}, {}
@@ -206,6 +207,49 @@ def forward_signals(spark, sf):
     return present(one.select("rule", "security_id", "entry_session", F.col("daily_return20").alias("priority")), 8)
 
 
+def _known_feat(frame, ema, n, period):
+    """Completed periods with the session that shows them: their own last, or the next bar where the exchange went on."""
+    return f"""
+SELECT w.security_id, w.session AS {frame}_available, w.close AS {frame}_close, CASE WHEN w.rn >= {n} THEN e.y END AS {frame}_ema{n},
+  CASE WHEN w.session >= k.last THEN w.session ELSE b.session END AS {frame}_known
+FROM v_{frame}_rn w JOIN {ema} e ON e.security_id = w.security_id AND e.rn = w.rn JOIN v_calendar c ON c.session = w.session
+JOIN (SELECT {period}, max(session) AS last FROM v_calendar GROUP BY 1) k ON k.{period} = c.{period}
+ASOF LEFT JOIN v_bars b ON b.security_id = w.security_id AND w.session < b.session
+QUALIFY row_number() OVER (PARTITION BY w.security_id, {frame}_known ORDER BY w.session DESC) = 1"""
+
+
+_KNOWN_MATRIX = """
+SELECT f.*, CASE WHEN f.rn >= 5 THEN e.y END AS daily_ema5, w.weekly_available, w.weekly_close, w.weekly_ema13,
+       m.monthly_available, m.monthly_close, m.monthly_ema6
+FROM v_feat f JOIN v_ema5 e ON e.security_id = f.security_id AND e.rn = f.rn
+ASOF LEFT JOIN v_week_feat w ON w.security_id = f.security_id AND w.weekly_known <= f.session
+ASOF LEFT JOIN v_month_feat m ON m.security_id = f.security_id AND m.monthly_known <= f.session"""
+
+
+@q("signals_from_state", with_views("""
+SELECT rule, security_id, CAST(signal_session AS VARCHAR) AS signal_session, CAST(entry_session AS VARCHAR) AS entry_session,
+  CAST(weekly_available AS VARCHAR) AS weekly_available, CAST(monthly_available AS VARCHAR) AS monthly_available, round(adv20, 2) AS adv, round(daily_return20, 8) AS priority
+FROM v_signals WHERE signal_session BETWEEN DATE '2001-05-29' AND DATE '2001-06-29'""", recursive=True, v_matrix=_KNOWN_MATRIX,
+  v_week_feat=_known_feat("weekly", "v_wema13", 13, "week_end"), v_month_feat=_known_feat("monthly", "v_mema6", 6, "month")))
+def signals_from_state(spark, sf):
+    """Signals of each session of a month, each from the feature state the session before it left."""
+    calendar = persist_table(M.calendar(spark, sf), "calendar")
+    bars = persist_table(M.bars(spark, sf).where("session <= DATE '2001-06-29'"), "bars")
+    store = FeatureStore(spark, work_dir(spark, "feature-state"), study.feature_state())
+    days = [r.session for r in calendar.where("session BETWEEN DATE '2001-05-28' AND DATE '2001-06-29'").select("session").orderBy("session").collect()]
+    store.take("2001-05-28", bars, calendar)
+    for day in days:
+        store.take(day, bars, calendar)
+    signals = study.session_signals(store.read_all().where("session > DATE '2001-05-28'"), calendar, F.col("session"))
+    return present(
+        signals.select(
+            "rule", "security_id", "signal_session", "entry_session", "weekly_available", "monthly_available", "adv",
+            F.col("daily_return20").alias("priority"),
+        ),
+        8, adv=2,
+    )
+
+
 @q("bar_store_roundtrip", with_views("""
 SELECT security_id, count(*) AS n, CAST(max(session) AS VARCHAR) AS last_session, CAST(sum(volume) AS BIGINT) AS volume FROM v_bars WHERE session < DATE '2001-06-01'
  AND security_id NOT IN (SELECT security_id FROM (SELECT security_id, abs(close / lag(close) OVER (PARTITION BY security_id ORDER BY session) - 1) AS mv FROM v_bars) WHERE mv > 0.11) GROUP BY 1"""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -29,16 +29,20 @@ class Condition:
             raise ValueError("condition requires exactly one feature or threshold")
 
 
-def condition_column(c: Condition, keys=("security_id",), order: str = "session") -> Column:
+def condition_column(
+    c: Condition, keys=("security_id",), order: str = "session", previous: Callable[[str], Column] | None = None
+) -> Column:
     """Boolean column; a null operand is false. Crosses look one daily row back.
 
-    A threshold is a constant and is not lagged.
+    A threshold is a constant and is not lagged. ``previous`` gives a feature's
+    value one row back where the rows before are not at hand.
     """
     row = Window.partitionBy(*keys).orderBy(order)
+    before = previous or (lambda name: F.lag(F.col(name)).over(row))
     left = F.col(c.left)
     right = F.col(c.feature) if c.feature is not None else F.lit(c.threshold)
-    before_left = F.lag(left).over(row)
-    before_right = F.lag(right).over(row) if c.feature is not None else right
+    before_left = before(c.left)
+    before_right = before(c.feature) if c.feature is not None else right
     mask = {
         "gt": lambda: left > right,
         "gte": lambda: left >= right,

@@ -11,13 +11,14 @@ from barloom.operators.scaled import bucketed_running
 from barloom.operators.sessions import small
 
 
-def rule_hits(matrix: DataFrame, rules: Sequence, priority: str, adv: str) -> DataFrame:
+def rule_hits(matrix: DataFrame, rules: Sequence, priority: str, adv: str, **how) -> DataFrame:
     """One row per (rule, security, session) that fires.
 
     Every rule is a boolean column over one shared feature matrix; only true
     pairs are unfolded. Rows without a priority value or dollar volume drop.
+    ``how`` goes to the conditions.
     """
-    flags = [F.when(all_of([r.where, r.when]), F.lit(r.name)) for r in rules]
+    flags = [F.when(all_of([r.where, r.when], **how), F.lit(r.name)) for r in rules]
     fired = matrix.withColumn("_hits", F.array_compact(F.array(*flags)))
     kept = fired.where((F.size("_hits") > 0) & F.col(priority).isNotNull() & F.col(adv).isNotNull())
     return kept.withColumn("rule", F.explode("_hits")).drop("_hits")

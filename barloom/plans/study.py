@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barloom.operators import eligibility as E, exits as X, features as FT, signals as SG
+from barloom.operators.feature_state import FeatureState
 from barloom.plans import grid
 
 
@@ -20,6 +21,18 @@ def study_signals(bars: DataFrame, calendar: DataFrame, matrix: DataFrame | None
     return SG.with_entry_session(SG.rule_hits(matrix, grid.rules(), grid.PRIORITY, "adv"), calendar)
 
 
+def feature_state() -> FeatureState:
+    """State that carries the features of the grid from session to session."""
+    return FeatureState(grid.FEATURES, grid.ADV_LOOKBACK)
+
+
+def session_signals(states: DataFrame, calendar: DataFrame, session: Column) -> DataFrame:
+    """``study_signals`` of one session from the state after it: no bar before the session is read."""
+    matrix = feature_state().matrix(states, session)
+    hits = SG.rule_hits(matrix, grid.rules(), grid.PRIORITY, "adv", previous=lambda name: F.col(f"before.{name}"))
+    return SG.with_entry_session(hits.drop("before"), calendar)
+
+
 GEOMETRY_FACTS = ("daily_atr14", "daily_rolling_low10", "daily_rolling_low20", "daily_rolling_high20")
 
 
