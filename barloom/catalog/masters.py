@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.catalog.common import present
 from barloom.catalog.views_sql import with_views
-from barloom.operators import bars as B, masters as MS
+from barloom.operators import bars as B, instruments as IN, masters as MS
 from barloom.session import work_dir
 from barloom.sources import json_lines as J, market_views as M, sinks
 
@@ -115,3 +115,65 @@ def record_sinks(spark, sf):
         one = rows.agg(F.count(F.lit(1)).alias("records"), F.sum("quantity").alias("quantity")).withColumn("kind", F.lit(kind))
         back = one if back is None else back.unionByName(one)
     return present(back)
+
+
+_ASKED = "upper(replace(p_name, ' ', '-')) || p_size % 5"
+_RESOLVED = """
+SELECT symbol, status, matches, rejected, CASE WHEN status = 'resolved' THEN one END AS id, CASE WHEN status = 'resolved' THEN trim(last_name) END AS name
+FROM (SELECT *, CASE WHEN matches = 0 THEN 'unresolved' WHEN blank THEN 'incomplete' WHEN matches > 1 THEN 'ambiguous' ELSE 'resolved' END AS status
+  FROM (SELECT symbol, count(DISTINCT id) FILTER (WHERE fits) AS matches, count(*) FILTER (WHERE NOT fits AND asked) AS rejected, min(id) FILTER (WHERE fits) AS one,
+    coalesce(bool_or(trim(name) = '') FILTER (WHERE fits), false) AS blank, last(name ORDER BY p_partkey) FILTER (WHERE fits) AS last_name FROM v_answers GROUP BY 1))"""
+
+
+def _answers(spark, sf):
+    """Parts as a vendor's answers: several for each asked symbol, of which some fit."""
+    asked = F.concat(F.upper(F.replace("p_name", F.lit(" "), F.lit("-"))), (F.col("p_size") % 5).cast("string"))
+    name = F.when(F.col("p_partkey") % 37 == 5, " ").otherwise(F.concat(F.lit(" "), F.col("p_brand")))
+    return M.table(spark, sf, "part").withColumn("symbol", asked).withColumn("name", name)
+
+
+def _roster(rows, spark):
+    return rows.select("symbol").union(spark.range(1).select(F.lit(" unlisted-1 ")))
+
+
+def _share_class(offset):
+    k = (F.floor(F.col("p_partkey") / 2) + offset).cast("string")
+    return F.concat(F.lit("BBG"), F.lpad(k, 9, "0"))
+
+
+@q("mapped_instruments", with_views(_RESOLVED, v_answers=f"""
+SELECT *, coalesce(p_partkey % 7 <> 3 AND p_partkey % 5 <> 1 AND p_type IN ('ECONOMY', 'PROMO') AND p_partkey % 11 <> 4 AND p_partkey % 13 <> 6, false) AS fits, true AS asked
+FROM (SELECT p_partkey, p_type, {_ASKED} AS symbol, 'BBG' || lpad(CAST(p_partkey // 2 AS VARCHAR), 9, '0') AS id,
+        CASE WHEN p_partkey % 37 = 5 THEN ' ' ELSE ' ' || p_brand END AS name FROM part)
+UNION ALL SELECT NULL, NULL, 'UNLISTED-1', NULL, NULL, false, false"""))
+def mapped_instruments(spark, sf):
+    """Symbols against mapping rows: asked ticker, US, allowed types, well-formed identifiers; wrong ones planted in each."""
+    k = F.col("p_partkey")
+    rows = _answers(spark, sf).select(
+        "symbol", "name", "p_partkey",
+        F.when(k % 7 == 3, F.lower("symbol")).otherwise(F.replace("symbol", F.lit("-"), F.lit("/"))).alias("ticker"),
+        F.when(k % 5 == 1, "LN").otherwise("US").alias("exchange_code"),
+        F.when(F.col("p_type") == "ECONOMY", "Common Stock").when(F.col("p_type") == "PROMO", "REIT").otherwise("Warrant").alias("security_type_2"),
+        F.when(k % 11 == 4, F.lower(_share_class(0))).otherwise(_share_class(0)).alias("share_class_id"),
+        F.when(k % 13 == 6, F.concat(_share_class(7), F.lit("0"))).otherwise(_share_class(7)).alias("composite_id"),
+    )
+    found = IN.resolve_instruments(_roster(rows, spark), rows, IN.is_mapped_listing(), "share_class_id", ["name"], "p_partkey")
+    return present(found.withColumnRenamed("share_class_id", "id"))
+
+
+@q("searched_instruments", with_views(_RESOLVED, v_answers=f"""
+SELECT *, coalesce(p_partkey % 7 <> 3 AND p_partkey % 5 <> 1 AND p_partkey % 3 <> 2 AND p_type IN ('ECONOMY', 'PROMO', 'SMALL'), false) AS fits, true AS asked
+FROM (SELECT p_partkey, p_type, {_ASKED} AS symbol, p_partkey // 2 AS id, CASE WHEN p_partkey % 37 = 5 THEN ' ' ELSE ' ' || p_brand END AS name FROM part)
+UNION ALL SELECT NULL, NULL, 'UNLISTED-1', NULL, NULL, false, false"""))
+def searched_instruments(spark, sf):
+    """Symbols against search hits: separators aside, US flag in any case, known exchanges, stocks and funds."""
+    k = F.col("p_partkey")
+    rows = _answers(spark, sf).select(
+        "symbol", "name", "p_partkey", F.floor(k / 2).cast("bigint").alias("instrument_id"),
+        F.when(k % 7 == 3, F.concat("symbol", F.lit("X"))).otherwise(F.lower(F.replace("symbol", F.lit("-"), F.lit(".")))).alias("quote_symbol"),
+        F.when(k % 5 == 1, "UK").otherwise("usa").alias("flag"),
+        F.when(k % 3 == 2, "LSE").when(k % 3 == 1, "nyse arca").otherwise("NASDAQ").alias("exchange"),
+        F.when(F.col("p_type").isin("ECONOMY", "PROMO"), "Stock - NYSE").when(F.col("p_type") == "SMALL", "ETF - NYSE").otherwise("Index").alias("quote_type"),
+    )
+    found = IN.resolve_instruments(_roster(rows, spark), rows, IN.is_searched_listing(), "instrument_id", ["name"], "p_partkey")
+    return present(found.withColumnRenamed("instrument_id", "id"))

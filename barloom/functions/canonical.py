@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 SHA256 = "^[0-9a-f]{64}$"
+#: Fixed value: form of a global instrument identifier, whole text.
+GLOBAL_ID = r"\ABBG[0-9A-Z]{9}\z"
 
 
 def decimal_string(value: Column) -> Column:
