@@ -39,7 +39,7 @@ class Phrases:
 
     def __init__(self, items: list[tuple[str, bytes | None]], window: int) -> None:
         self.numbers: dict[bytes, int] = {}
-        self.names: list[str] = []
+        places: dict[str, int] = {}
         windows: dict[int, dict[tuple[int, ...], list[int]]] = {}
         for name, text in items:
             words = alnum_words(text or b"")
@@ -48,11 +48,11 @@ class Phrases:
             size = min(window, len(numbers))
             if not size:
                 continue
-            place = len(self.names)
-            self.names.append(name)
+            place = places.setdefault(name, len(places))  # an item may have several rows
             own = windows.setdefault(size, {})
             for i in range(len(numbers) - size + 1):
                 own.setdefault(tuple(numbers[i : i + size]), []).append(place)
+        self.names = list(places)
         self.size = len(self.numbers) + 2
         self.by_length = {
             size: (np.array(list(own), np.int64), [np.unique(v) for v in own.values()]) for size, own in windows.items()

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -58,7 +60,6 @@ class Notice:
         cuts = [n * i // k for i in range(k + 1)]
         return [(a, self.words[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
-
     def may_stand_in(self, text: bytes) -> bool:
         """An edit spoils at most three of the notice's three-letter parts; all others must be there."""
         parts = [self.words[i : i + 3] for i in range(len(self.words) - 2)]
@@ -90,34 +91,44 @@ class Scanner:
             for k, at in places:
                 notice = self.notices[k]
                 low = start - at - notice.edits
-                high = low + len(notice.words) + 2 * notice.edits
-                own = found[k]
-                if own and low <= own[-1][1]:
-                    own[-1] = (own[-1][0], max(own[-1][1], high))
-                else:
-                    own.append((low, high))
-        return found
+                found[k].append((max(low, 0), low + len(notice.words) + 2 * notice.edits))
+        return [_merged(sorted(own)) for own in found]
 
     def matches(self, text: bytes) -> list[tuple[int, int, str, float]]:
         """(start, end, label, likeness) in the joined words, by start; of overlapping ones the likest, then longest."""
         found = []
         for notice, pattern, own in zip(self.notices, self.patterns, self.candidates(text), strict=True):
             for low, high in own:
-                near = text[max(low, 0) : high]
-                at = near.find(notice.words)
+                free, left = low, []
+                at = text.find(notice.words, low, high)
                 while at >= 0:
-                    start = max(low, 0) + at
-                    found.append((0.0, -len(notice.words), start, start + len(notice.words), notice.label))
-                    at = near.find(notice.words, at + 1)
-                if notice.words in near or not notice.may_stand_in(near):
-                    continue
-                for m in pattern.finditer(text, max(low, 0), high):
-                    found.append((sum(m.fuzzy_counts) / len(notice.words), m.start() - m.end(), *m.span(), notice.label))
+                    stop = at + len(notice.words)
+                    found.append((0.0, -len(notice.words), at, stop, notice.label))
+                    left.append((free, at))
+                    free = stop
+                    at = text.find(notice.words, at + 1, high)
+                for a, b in (*left, (free, high)):
+                    if a < b and notice.may_stand_in(text[a:b]):
+                        for m in pattern.finditer(text, a, b):
+                            found.append((sum(m.fuzzy_counts) / len(notice.words), m.start() - m.end(), *m.span(), notice.label))
         out: list[tuple[int, int, str, float]] = []
         for loss, size, a, b, label in sorted(found):
-            if size and not any(a < y and x < b for x, y, _, _ in out):
-                out.append((a, b, label, 1 - loss))
-        return sorted(out)
+            k = bisect_left(out, (a,))
+            clear = (k == 0 or out[k - 1][1] <= a) and (k == len(out) or b <= out[k][0])
+            if size and clear:
+                out.insert(k, (a, b, label, 1 - loss))
+        return out
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted stretches with those that touch or overlap made one."""
+    out: list[tuple[int, int]] = []
+    for low, high in spans:
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
+    return out
 
 
 @lru_cache(maxsize=2)
@@ -169,11 +180,12 @@ def find_licenses(
             for doc_id, text in rows_of(batches, "doc_id", "text"):
                 words = alnum_words(text or b"")
                 joined = b" %s " % b" ".join(words)
-                exact = sorted((joined.count(b" ", 0, at), label) for p, label in wanted for at in _places(joined, p))
+                spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+                exact = sorted((int(np.searchsorted(spaces, at)), label) for p, label in wanted for at in _places(joined, p))
                 fuzzy = []
                 for a, b, label, like in scan.matches(joined[1:-1]):
-                    first = joined.count(b" ", 0, a + 1) - (joined[a + 1 : a + 2] != b" ")
-                    last = joined.count(b" ", 0, b + 1) - (joined[b : b + 1] == b" ")
+                    first = int(np.searchsorted(spaces, a + 1)) - (joined[a + 1 : a + 2] != b" ")
+                    last = int(np.searchsorted(spaces, b + 1)) - (joined[b : b + 1] == b" ")
                     fuzzy.append({"start": first, "end": max(last, first + 1), "label": label, "likeness": like})
                 yield doc_id, len(words), [{"word": w, "label": label} for w, label in exact], fuzzy
 

@@ -15,11 +15,11 @@ import brute
 from barloom.llm import pii
 from barloom.llm.catalog import QUERIES
 from barloom.llm.common import alnum_words
-from barloom.llm.decontamination import Phrases, Shard
+from barloom.llm.decontamination import Phrases, Shard, find_contamination
 from barloom.llm.fm_index import FMIndex
 from barloom.llm.html_extraction import extract, induce, simple_tree_matching
 from barloom.llm.html_tree import parse
-from barloom.llm.licenses import NOTICES, scanner
+from barloom.llm.licenses import NOTICES, find_licenses, scanner
 from barloom.llm.minhash import Sketcher, near_duplicates
 from barloom.llm.packing import default_vocabulary, encoder
 from barloom.llm.substring_dedup import alike_stretches, compact_windows, near_duplicate_passages
@@ -259,3 +259,38 @@ def test_tree_matching_is_the_largest_mapping():
     assert simple_tree_matching(a, b)[0] == 4
     assert simple_tree_matching(parse("<p>"), parse("<div>"))[0] == 1
     assert re.sub(r"\s", "", extract("<div><p>a<p>b</div>", {})) == "ab"
+
+
+def test_a_notice_with_edits_next_to_exact_ones_is_found():
+    scan = scanner(NOTICES)
+    near, exact = b"released umder the mit license", b"released under the mit license"
+    found = scan.matches(b" ".join((near, exact, near, b"some other words", exact)))
+    assert [(a, m == 1.0) for a, _, label, m in found if label == "mit"] == [(0, False), (31, True), (62, False), (110, True)]
+    assert all(x[1] <= y[0] for x, y in zip(found, found[1:]))
+
+
+def test_seeds_met_out_of_order_keep_the_whole_stretch():
+    scan = scanner((("alpha beta gamma delta", "x", 3),))
+    text = b"alpha beta gamma delta"
+    for cut in range(len(text)):
+        spoiled = text[:cut] + b"#" + text[cut + 1 :]
+        for lead in (b"", b"alpha ", b"alpha alpha beta ", b"gamma "):
+            spans = [(a, b) for a, b, _, _ in scan.matches(lead + spoiled)]
+            assert any(a <= len(lead) + 3 and b >= len(lead) + len(text) - 3 for a, b in spans), (cut, lead)
+
+
+def test_many_notices_in_one_text_are_all_found_where_they_stand(spark):
+    n = 20_000
+    docs = spark.createDataFrame([(1, "word released under the mit license " * n)], "doc_id bigint, text string")
+    row = find_licenses(docs).first()
+    assert [p.word for p in row.phrases] == list(range(2, 6 * n, 6))
+    assert [(x.start, x.end) for x in row.notices] == [(i, i + 5) for i in range(1, 6 * n, 6)]
+
+
+@pytest.mark.parametrize("block", [8_000_000, 40])
+def test_an_item_in_several_rows_is_listed_once(spark, block):
+    passage = "one two three four five six seven eight nine ten eleven"
+    items = spark.createDataFrame([("7", passage), ("7", passage + " twelve"), ("8", "apart")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"x {passage} twelve y"), (2, "nothing")], "doc_id bigint, text string")
+    got = {r.doc_id: (r["items"], r.spans) for r in find_contamination(docs, items, block_bytes=block).collect()}
+    assert got[1][0] == ["7"] and [(s.start, s.stop) for s in got[1][1]] == [(1, 13)] and got[2][0] == []
