@@ -157,18 +157,16 @@ def option_revisions(spark, sf):
 
 
 def _window_keys(spark, sf):
+    """Distinct signals by window and strategy, written once: the overlaps read them several times."""
     split = S.chronological_split(M.calendar(spark, sf)).where("kind IN ('development', 'validation')")
     kinds = split.select(F.col("session").alias("entry_session"), F.col("kind").alias("win"))
-    return (
-        M.trades(spark, sf)
-        .join(S.small(kinds), "entry_session")
-        .select("win", "strategy_id", "security_id", "signal_session")
-        .distinct()
-    )
+    keys = M.trades(spark, sf).join(S.small(kinds), "entry_session").select("win", "strategy_id", "security_id", "signal_session")
+    return persist_table(keys.distinct(), "window-keys")
 
 
 def _option_pairs(spark, sf, empty=None):
-    pairs = O.unordered_pairs(R.selection_options(_wide(spark, sf)), "strategy_id", ["option"])
+    options = persist_table(R.selection_options(_wide(spark, sf)).select("option", "strategy_id"), "options")
+    pairs = O.unordered_pairs(options, "strategy_id", ["option"])
     windows = F.explode(F.array(F.lit("development"), F.lit("validation")))
     both = pairs.select("left_member", "right_member").distinct().withColumn("win", windows)
     ratios = O.jaccard(both, _window_keys(spark, sf), ["security_id", "signal_session"], "strategy_id", ["win"], empty)
@@ -225,11 +223,12 @@ FROM v_size l JOIN v_size r ON l.strategy_id < r.strategy_id LEFT JOIN (
    v_sig="SELECT strategy_id, security_id, signal_session, bool_or(status = 'filled') AS filled FROM v_cand GROUP BY 1, 2, 3",
    v_size="SELECT strategy_id, count(*) AS c, count(*) FILTER (WHERE filled) AS f FROM v_sig GROUP BY 1"))
 def pair_jaccard(spark, sf):
-    cand = M.candidates(spark, sf)
     keys = ["security_id", "signal_session"]
-    pairs = O.unordered_pairs(cand.select("strategy_id").distinct(), "strategy_id")
-    every = O.jaccard(pairs, cand, keys, "strategy_id")
-    filled = O.jaccard(pairs, cand.where("status = 'filled'"), keys, "strategy_id")
+    signals = M.candidates(spark, sf).groupBy("strategy_id", *keys).agg(F.bool_or(F.col("status") == "filled").alias("filled"))
+    signals = persist_table(signals, "signals")
+    pairs = O.unordered_pairs(signals.select("strategy_id").distinct(), "strategy_id")
+    every = O.jaccard(pairs, signals, keys, "strategy_id")
+    filled = O.jaccard(pairs, signals.where("filled"), keys, "strategy_id")
     both = every.alias("c").join(filled.alias("f"), ["left_member", "right_member"])
     return present(
         both.select(
@@ -254,7 +253,7 @@ FROM v_lists l JOIN v_lists r ON l.strategy_id < r.strategy_id"""
 SELECT strategy_id, list(DISTINCT security_id) AS sec, list(DISTINCT signal_session) AS ses,
        list(DISTINCT security_id || '|' || CAST(signal_session AS VARCHAR)) AS k FROM v_trades GROUP BY 1"""))
 def projection_jaccard(spark, sf):
-    trades = M.trades(spark, sf)
+    trades = persist_table(M.trades(spark, sf).select("strategy_id", "security_id", "signal_session").distinct(), "trade-keys")
     pairs = O.unordered_pairs(trades.select("strategy_id").distinct(), "strategy_id")
     zero = F.lit(0.0)
     on = ["left_member", "right_member"]
