@@ -13,6 +13,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+#: Rows of one task of a job by key; a window job over bars takes about 2 KB of memory a row.
+ROWS_PER_TASK = 1 << 17
+
+
+def dealt_by(df: DataFrame, keys: Sequence[str], rows: int, per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """The rows dealt by key into as many tasks as ``rows``, a bound of their number, needs.
+
+    Adaptive execution joins small shuffle partitions by their compressed bytes, however much memory the
+    windows behind them take a row. A number that is named stays, so a task's memory does not grow with the input.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // per_task))
+    return df.repartition(tasks, *keys)
+
+
 def bucketed_running(
     df: DataFrame,
     keys: Sequence[str],

@@ -12,6 +12,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from barloom.operators.bars import bars_from_prints
+from barloom.operators.scaled import dealt_by
 from barloom.operators.sessions import exchange_calendar, rolled_days, small
 
 CAPITAL = 100_000
@@ -87,7 +88,9 @@ def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars_from_prints(prints(spark, sf_dir), ["tick"])
+    """Daily bars, dealt by security: there are no more than order lines, whose number stands in the file footers."""
+    lines = table(spark, sf_dir, "lineitem").count()
+    return dealt_by(bars_from_prints(prints(spark, sf_dir), ["tick"]), ["security_id"], lines)
 
 
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:

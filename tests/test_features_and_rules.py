@@ -7,7 +7,7 @@ import statistics
 
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from barloom.functions import canonical
 from barloom.operators import asof, features as X, rules as R, scaled, signals as SG
@@ -131,3 +131,15 @@ def test_canonical_json_escapes_as_ascii(spark):
     df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").select("t", canonical.canonical_json(b=F.col("t"), a=F.lit(1)).alias("j"))
     for row in df.collect():
         assert row["j"] == json.dumps({"a": 1, "b": row["t"]}, separators=(",", ":"))
+
+
+def test_rows_dealt_by_key_keep_their_tasks_and_stay_whole(spark):
+    """Adaptive execution joined the small partitions of a window job, so a task's memory grew with the input."""
+    rows = spark.range(1200).select((F.col("id") % 60).alias("k"), "id")
+    dealt = scaled.dealt_by(rows, ["k"], 1200, per_task=100)
+    ranked = dealt.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("id")))
+    tasks = ranked.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count("*").alias("rows"), F.count_distinct("k").alias("keys"))
+    found = tasks.collect()
+    assert len(found) > 8 and max(r.rows for r in found) < 400
+    assert sum(r.rows for r in found) == 1200 and sum(r["keys"] for r in found) == 60
+    assert {r.n for r in ranked.groupBy("k").agg(F.max("n").alias("n")).collect()} == {20}
