@@ -14,7 +14,7 @@ def with_forward_path(bars: DataFrame, hold: int, start: int = 0, out: str = "pa
     """
     order = Window.partitionBy("security_id").orderBy("session")
     bar = F.struct("pos", "session", "open", "high", "low", "close")
-    ahead = F.collect_list(bar).over(order.rowsBetween(start, start + hold - 1))
+    ahead = F.array_compact(F.array(*[F.lead(bar, k).over(order) for k in range(start, start + hold)]))
     return bars.withColumn("pos", F.row_number().over(order)).withColumn(out, ahead).drop("pos")
 
 
@@ -63,9 +63,17 @@ def full_window(path: Column, hold: int, end_exclusive: Column) -> Column:
 
 
 def label_outcomes(entries: DataFrame, bars: DataFrame, hold: int = 21) -> DataFrame:
-    """Entries (security, entry_session, stop, target) with their exit columns."""
-    ahead = with_forward_path(bars, hold).select("security_id", F.col("session").alias("entry_session"), "path")
-    touched = with_first_touch(entries.join(ahead, ["security_id", "entry_session"]), hold)
+    """Entries (security, entry_session, stop, target) with their exit columns.
+
+    The entries of a bar are joined to it as one list before the path is made, so
+    paths, ``hold`` times as wide as a bar, never cross the network.
+    """
+    opened = entries.groupBy("security_id", F.col("entry_session").alias("session")).agg(
+        F.collect_list(F.struct(*[c for c in entries.columns if c != "security_id"])).alias("_entries")
+    )
+    ahead = with_forward_path(bars.join(opened, ["security_id", "session"], "left"), hold)
+    each = ahead.where("_entries IS NOT NULL").select("security_id", "path", F.inline("_entries"))
+    touched = with_first_touch(each, hold)
     return touched.select(
         *entries.columns,
         F.col("exit.session").alias("exit_session"),

@@ -171,3 +171,16 @@ def test_tie_break_matches_python(spark):
     payload = {"permanent_id": "ID-1", "signal_session": "2024-02-14", "strategy_revision_identity": "a" * 64}
     text = json.dumps({"domain": "d", "payload": payload}, sort_keys=True, separators=(",", ":"))
     assert df.first()["h"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_paths_are_made_after_the_last_exchange(spark):
+    """Every entry's path of 21 bars crossed the network, twenty times the bars themselves."""
+    days = business_days("2024-01-02", "2024-02-12")
+    bars = spark.createDataFrame([(s, d, 100.0, 101.0, 99.0, 100.0) for s in "ab" for d in days], "security_id string, session date, open double, high double, low double, close double")
+    twice = [("a", days[0], 95.0, 105.0, 1), ("a", days[0], 99.5, 105.0, 2), ("b", days[3], 95.0, 100.5, 3), ("b", days[3], 95.0, 100.5, 3), ("c", days[0], 1.0, 2.0, 4), ("a", None, 1.0, 2.0, 5)]
+    entries = spark.createDataFrame(twice, "security_id string, entry_session date, stop double, target double, k int")
+    out = X.label_outcomes(entries, bars, 21)
+    got = sorted((r.k, r.exit_reason, r.sessions_held) for r in out.collect())
+    assert got == [(1, "time", 21), (2, "stop", 1), (3, "target", 1), (3, "target", 1)]
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("Window") < plan.index("Join")
