@@ -11,17 +11,20 @@ from barloom.operators.scaled import bucketed_running
 from barloom.operators.sessions import small
 
 
-def rule_hits(matrix: DataFrame, rules: Sequence, priority: str, adv: str, **how) -> DataFrame:
-    """One row per (rule, security, session) that fires.
+def rules_fired(matrix: DataFrame, rules: Sequence, priority: str, adv: str, **how) -> DataFrame:
+    """Rows on which a rule fires, with the names of all that do as the array ``rules``.
 
-    Every rule is a boolean column over one shared feature matrix; only true
-    pairs are unfolded. Rows without a priority value or dollar volume drop.
-    ``how`` goes to the conditions.
+    Every rule is a boolean column over one shared feature matrix. Rows without
+    a priority value or dollar volume drop. ``how`` goes to the conditions.
     """
     flags = [F.when(all_of([r.where, r.when], **how), F.lit(r.name)) for r in rules]
-    fired = matrix.withColumn("_hits", F.array_compact(F.array(*flags)))
-    kept = fired.where((F.size("_hits") > 0) & F.col(priority).isNotNull() & F.col(adv).isNotNull())
-    return kept.withColumn("rule", F.explode("_hits")).drop("_hits")
+    fired = matrix.withColumn("rules", F.array_compact(F.array(*flags)))
+    return fired.where((F.size("rules") > 0) & F.col(priority).isNotNull() & F.col(adv).isNotNull())
+
+
+def rule_hits(matrix: DataFrame, rules: Sequence, priority: str, adv: str, **how) -> DataFrame:
+    """One row per (rule, security, session) that fires: ``rules_fired`` unfolded."""
+    return rules_fired(matrix, rules, priority, adv, **how).withColumn("rule", F.explode("rules")).drop("rules")
 
 
 def in_range(signals: DataFrame, start: Column, end: Column, entry_end: Column | None = None) -> DataFrame:

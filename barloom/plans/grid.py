@@ -101,3 +101,8 @@ GRID_SCHEMA = (
 def grid_table(spark: SparkSession) -> DataFrame:
     """The grid as a table; its size is set by the constants above (144 rows)."""
     return spark.createDataFrame(grid_rows(), GRID_SCHEMA)
+
+
+def level_table(spark: SparkSession) -> DataFrame:
+    """The stops and targets of the grid (12 pairs), which do not depend on the rule."""
+    return grid_table(spark).drop("strategy_id", "rule").distinct()

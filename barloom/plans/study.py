@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.operators import eligibility as E, exits as X, features as FT, signals as SG
 from barloom.operators.feature_state import FeatureState
@@ -43,27 +43,41 @@ def fact_column(name: Column) -> Column:
     return case
 
 
-def study_entries(bars: DataFrame, calendar: DataFrame, limits: E.Limits = E.Limits()) -> DataFrame:
-    """Every (strategy, security, signal) with levels at the next session's open.
+def study_levels(bars: DataFrame, calendar: DataFrame, limits: E.Limits = E.Limits(), path: bool = False) -> DataFrame:
+    """Every (security, signal, stop, target) with levels at the next session's open and the rules that fired.
 
-    The path of the next ``hold`` bars travels with each row, so neither the
-    entry bar nor the exit needs a join: the only exchange is by security.
+    Levels do not depend on the rule, so they are worked out once for all rules of a signal. With ``path``
+    the next ``hold`` bars travel with each row, so neither the entry bar nor the exit needs a join:
+    the only exchange is by security.
     """
-    hold = limits.hold_sessions
-    matrix = X.with_forward_path(study_matrix(bars, calendar), hold, start=1)
-    signals = study_signals(bars, calendar, matrix)
-    first = F.try_element_at("path", F.lit(1))
-    opened = F.when(first["session"] == F.col("entry_session"), first["open"])
-    rules = F.broadcast(grid.grid_table(bars.sparkSession))
-    entries = signals.withColumn("entry_price", opened).join(rules, "rule")
+    matrix = study_matrix(bars, calendar)
+    following = F.lead(F.struct("session", "open")).over(Window.partitionBy("security_id").orderBy("session"))
+    matrix = matrix.withColumn("_first", following)
+    if path:
+        matrix = X.with_forward_path(matrix, limits.hold_sessions, start=1)
+    fired = SG.with_entry_session(SG.rules_fired(matrix, grid.rules(), grid.PRIORITY, "adv"), calendar)
+    opened = F.when(F.col("_first.session") == F.col("entry_session"), F.col("_first.open"))
+    entries = fired.withColumn("entry_price", opened).drop("_first").crossJoin(F.broadcast(grid.level_table(bars.sparkSession)))
     return E.with_geometry(entries, fact_column).withColumn("geometry_reason", E.geometry_reason(limits))
 
 
+def by_strategy(levels: DataFrame) -> DataFrame:
+    """Rows of ``study_levels`` unfolded by the rules that fired, each named as its strategy."""
+    names = grid.grid_table(levels.sparkSession).select("rule", "stop_slug", "target_slug", "strategy_id")
+    each = levels.withColumn("rule", F.explode("rules")).drop("rules")
+    return each.join(F.broadcast(names), ["rule", "stop_slug", "target_slug"])
+
+
+def study_entries(bars: DataFrame, calendar: DataFrame, limits: E.Limits = E.Limits()) -> DataFrame:
+    """Every (strategy, security, signal) with levels at the next session's open."""
+    return by_strategy(study_levels(bars, calendar, limits))
+
+
 def study_outcomes(bars: DataFrame, calendar: DataFrame, limits: E.Limits = E.Limits()) -> DataFrame:
     """Entries with their first-touch exit; rejected entries keep a reason and no exit."""
-    entries = study_entries(bars, calendar, limits)
+    levels = study_levels(bars, calendar, limits, path=True)
     ok = F.col("geometry_reason").isNull()
-    return X.with_first_touch(entries, limits.hold_sessions, "exit", ok).drop("path")
+    return by_strategy(X.with_first_touch(levels, limits.hold_sessions, "exit", ok).drop("path"))
 
 
 def evaluate(bars: DataFrame, calendar: DataFrame, limits: E.Limits = E.Limits()) -> DataFrame:
