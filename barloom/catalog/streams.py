@@ -9,9 +9,9 @@ from pyspark.sql import Window, functions as F
 from barloom.catalog import performance  # noqa: F401  (registers the views used below)
 from barloom.catalog.common import present
 from barloom.catalog.views_sql import with_views
-from barloom.operators import equity as Q, gate as G
+from barloom.operators import equity as Q, gate as G, signals as SG
 from barloom.operators.sessions import session_calendar, small
-from barloom.plans import study
+from barloom.plans import grid, study
 from barloom.session import persist_table, work_dir
 from barloom.sources import market_views as M
 from barloom.streaming import books as BK, daily_bars as DB, forward as FW, pending as PD, positions as PS, runs
@@ -54,8 +54,8 @@ SELECT strategy_id || '|' || security_id || '|' || CAST(signal_session AS VARCHA
   reason AS exit_reason, round(price, 6) AS exit_price, i + 1 AS sessions_held FROM v_exits"""
 
 
-def _shuffled_batches(spark, feed, label):
-    """The feed as five files, one for each batch: bars come up to ten days after others of their day, the first bar
+def _shuffled_batches(feed):
+    """The feed in five batches: bars come up to ten days after others of their day, the first bar
     of each security comes once more at the end, and a row of no security closes the last day."""
     first, last = feed.agg(F.min("session"), F.max("session")).first()
     day = F.datediff("session", F.lit(first)) + F.pmod(F.xxhash64("security_id", "session"), F.lit(11))
@@ -64,11 +64,9 @@ def _shuffled_batches(spark, feed, label):
     closing = feed.sparkSession.createDataFrame(
         [("~", last + dt.timedelta(_DELAY_DAYS + 1), 0.0, 0.0, 0.0, 0.0)], "security_id string, session date, open double, high double, low double, close double"
     )
-    inbox = work_dir(spark, label)
     for n in range(4):
-        feed.where(part == n).coalesce(1).write.mode("append").parquet(inbox)
-    again.unionByName(closing, allowMissingColumns=True).coalesce(1).write.mode("append").parquet(inbox)
-    return spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+        yield [feed.where(part == n)]
+    yield [again.unionByName(closing, allowMissingColumns=True)]
 
 
 @q("stream_position_exits", with_views(f"""
@@ -93,8 +91,8 @@ def stream_position_exits(spark, sf):
     )
     per_bar = opened.groupBy("security_id", "session").agg(F.collect_list("entry").alias("entries"))
     feed = persist_table(bars.drop("volume").join(per_bar, ["security_id", "session"], "left"), "position-feed")
-    stream = _shuffled_batches(spark, feed, "position-batches")
-    return present(runs.run_available(PS.track_positions(stream, delay=_DELAY_DAYS), "position-exits"), 6)
+    track = lambda stream: PS.track_positions(stream, delay=_DELAY_DAYS)
+    return present(runs.run_arrivals(spark, _shuffled_batches(feed), track, "position-exits"), 6)
 
 
 _BOOK_ROWS = """
@@ -237,12 +235,34 @@ def pending_entries_batch(spark, sf):
     return present(PD.pending_batch(_signals(spark, sf), M.bars(spark, sf)), 6)
 
 
+def _spans(signals, bars, rows=1 << 21):
+    """Signals by entry session and bars by session, in as many equal spans of days as keep about ``rows`` bars in one."""
+    first, last, n = bars.agg(F.min("session"), F.max("session"), F.count(F.lit(1))).first()
+    if not n:
+        yield [signals, bars]
+        return
+    step = -(-((last - first).days + 1) // -(-n // rows))
+    starts = [first + dt.timedelta(k) for k in range(0, (last - first).days + 1, step)]
+    for start, end in zip([dt.date(1000, 1, 1), *starts[1:]], [*starts[1:], dt.date(9999, 12, 31)], strict=True):
+        at = lambda name: (F.col(name) >= F.lit(start)) & (F.col(name) < F.lit(end))  # noqa: B023, E731
+        yield [signals.where(at("entry_session")), bars.where(at("session"))]
+
+
 @q("stream_pending_entries", with_views(f"SELECT * FROM ({_PENDING}) WHERE status <> 'pending'", recursive=True))
 def stream_pending_entries(spark, sf):
-    """Signals of every rule wait for the bar of their entry session; those whose bar never comes expire."""
-    signals = _stream(spark, persist_table(_signals(spark, sf), "signal-feed"))
-    bars = _stream(spark, persist_table(M.bars(spark, sf).select("security_id", "session", "open"), "bar-feed"))
-    return present(runs.run_available(PD.enter_pending(signals, bars), "pending"), 6)
+    """Signals of every rule wait for the bar of their entry session; those whose bar never comes expire.
+
+    The rules of a signal wait together, and both feeds arrive by spans of sessions, more spans for more
+    bars, so the state holds no more than a span however large the tables are.
+    """
+    cal = M.calendar(spark, sf)
+    fired = SG.with_entry_session(
+        SG.rules_fired(study.study_matrix(M.bars(spark, sf), cal), grid.rules(), grid.PRIORITY, "adv"), cal
+    )
+    signals = persist_table(fired.select("rules", "security_id", "signal_session", "entry_session"), "signal-feed")
+    bars = persist_table(M.bars(spark, sf).select("security_id", "session", "open"), "bar-feed")
+    entered = runs.run_arrivals(spark, _spans(signals, bars), PD.enter_pending, "pending")
+    return present(entered.select(F.explode("rules").alias("rule"), *[c for c in entered.columns if c != "rules"]), 6)
 
 
 @q("forward_initial_books", with_views("""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.session import work_dir
@@ -24,10 +26,12 @@ def table_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFra
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def run_available(stream: DataFrame, label: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Process everything available into a parquet table and return that table."""
+def run_available(
+    stream: DataFrame, label: str, mode: str = "append", checkpoint: str | None = None, out: str | None = None
+) -> DataFrame:
+    """Process everything available into a parquet table, ``out`` if named, and return that table."""
     spark = stream.sparkSession
-    out = work_dir(spark, label)
+    out = out or work_dir(spark, label)
     query = (
         stream.writeStream.format("parquet")
         .outputMode(mode)
@@ -49,3 +53,20 @@ def run_batches(stream: DataFrame, apply, checkpoint: str, mode: str = "append")
         .start()
     )
     query.awaitTermination()
+
+
+def run_arrivals(spark: SparkSession, arrivals: Iterable[Sequence[DataFrame]], build, label: str) -> DataFrame:
+    """Batches of tables, each written by as many tasks as it has and then taken by the stream before the next comes.
+
+    ``build`` makes the stream of one streaming input for each table of a batch. All runs share
+    one checkpoint, so state and watermark go on from batch to batch.
+    """
+    out, checkpoint = work_dir(spark, label), work_dir(spark, f"{label}-checkpoint")
+    inboxes, done = None, None
+    for tables in arrivals:
+        inboxes = inboxes or [work_dir(spark, f"{label}-inbox") for _ in tables]
+        for table, inbox in zip(tables, inboxes, strict=True):
+            table.write.mode("append").parquet(inbox)
+        streams = [spark.readStream.schema(t.schema).parquet(i) for t, i in zip(tables, inboxes, strict=True)]
+        done = run_available(build(*streams), label, checkpoint=checkpoint, out=out)
+    return done

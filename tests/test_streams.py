@@ -191,3 +191,20 @@ def test_session_gate_finds_each_violation_and_blocks_the_commit(spark, tmp_path
     assert [d[1] for d in decided] == ["accepted", "invalid", "skipped_ahead"] and ledger.control().count() == 1
     nothing = G.session_violations(frames.limit(0), roster, coverage, snapshots.limit(1))
     assert {r["problem"] for r in nothing.collect()} == {"no_data"}
+
+
+def test_batches_arrive_whole_and_in_spans_that_grow_in_number_with_the_bars(spark):
+    """Every batch was written by one task, and all bars and signals stood in the join state at once."""
+    from barloom.catalog import streams as ST
+
+    day = lambda n: dt.date(2024, 1, n)
+    bars = spark.createDataFrame([(s, day(n), 100.0 + n) for s in "ab" for n in range(2, 30)], "security_id string, session date, open double")
+    waiting = [(["r", "q"], s, day(n - 1), day(n)) for s in "abc" for n in range(2, 31)]
+    signals = spark.createDataFrame(waiting, "rules array<string>, security_id string, signal_session date, entry_session date")
+    spans = list(ST._spans(signals, bars.repartition(3), rows=10))
+    assert len(spans) == 6 and sum(b.count() for _, b in spans) == 56 and sum(s.count() for s, _ in spans) == 87
+    assert max(b.count() for _, b in spans) <= 10 and spans[2][1].rdd.getNumPartitions() == 3
+    got = runs.run_arrivals(spark, iter(spans), PD.enter_pending, "spans")
+    want = PD.pending_batch(signals, bars).where("status <> 'pending'")
+    pick = lambda df: sorted(map(str, df.select("security_id", "entry_session", "status", "entry_price", "rules").collect()))
+    assert pick(got) == pick(want)
