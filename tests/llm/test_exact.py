@@ -17,7 +17,7 @@ from barloom.llm.catalog import QUERIES
 from barloom.llm.common import alnum_words
 from barloom.llm.decontamination import Phrases, Shard, find_contamination
 from barloom.llm.fm_index import FMIndex
-from barloom.llm.html_extraction import extract, induce, simple_tree_matching
+from barloom.llm.html_extraction import extract, induce, main_texts, simple_tree_matching
 from barloom.llm.html_tree import parse
 from barloom.llm.licenses import NOTICES, find_licenses, scanner
 from barloom.llm.minhash import Sketcher, near_duplicates
@@ -294,3 +294,38 @@ def test_an_item_in_several_rows_is_listed_once(spark, block):
     docs = spark.createDataFrame([(1, f"x {passage} twelve y"), (2, "nothing")], "doc_id bigint, text string")
     got = {r.doc_id: (r["items"], r.spans) for r in find_contamination(docs, items, block_bytes=block).collect()}
     assert got[1][0] == ["7"] and [(s.start, s.stop) for s in got[1][1]] == [(1, 13)] and got[2][0] == []
+
+
+def _share_page(k, story, tail="<p>Share this story<ul><li>by mail<li>by post</ul>"):
+    words = [f"{story}{i}" for i in range(40)]
+    return f"<body><article><h1>About</h1><p>{' '.join(words[:20])} <b>now</b></p><p>{' '.join(words[20:])}</p>{tail}</article><p>{k}"
+
+
+def test_template_blocks_within_articles_are_left_out(spark):
+    """Pages with an article were read without the wrapper, so the host's template text in it stayed."""
+    own = lambda s: f"About\n{' '.join(f'{s}{i}' for i in range(20))} now\n{' '.join(f'{s}{i}' for i in range(20, 40))}"
+    share = "\nShare this story\nby mail\nby post"
+    rows = [(k, "http://a.org/x", _share_page(k, s)) for k, s in enumerate("abcdef")]
+    # Copies of one article are no template, nor is a line of few of the host's articles or of too few articles.
+    rows += [(k, "http://b.org/x", _share_page(k, "z")) for k in range(10, 20)]
+    rows += [(k, "http://c.org/x", _share_page(k, s)) for k, s in zip(range(20, 23), "abc")]
+    rows += [(k, "http://d.org/x", _share_page(k, f"s{k}x", "<p>rare line" if k % 3 else "<p>other line")) for k in range(30, 60)]
+    got = {r.page_id: r.text for r in main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == own(s) for k, s in enumerate("abcdef"))
+    assert all(got[k] == own("z") + share for k in range(10, 20))
+    assert all(got[k] == own(s) + share for k, s in zip(range(20, 23), "abc"))
+    assert all(got[k] == own(f"s{k}x") + ("\nrare line" if k % 3 else "\nother line") for k in range(30, 60))
+
+
+def test_varying_text_below_template_text_stays():
+    def page(k):
+        return f"<body><div>By <p>Author {k}</p></div><div><p>Story {k} here</div>"
+
+    assert extract(page("e"), {**induce([page(k) for k in "abcd"]), "content": None}) == "By\nAuthor e\nStory e here"
+
+
+def test_template_text_deep_in_a_tree_is_known():
+    def page(k):
+        return "<div>" * 12 + f"<p>Story {k}</p><p>All rights kept</p>" + "</div>" * 12
+
+    assert extract(page("e"), induce([page(k) for k in "abcd"])) == "Story e"
