@@ -329,3 +329,24 @@ def test_template_text_deep_in_a_tree_is_known():
         return "<div>" * 12 + f"<p>Story {k}</p><p>All rights kept</p>" + "</div>" * 12
 
     assert extract(page("e"), induce([page(k) for k in "abcd"])) == "Story e"
+
+
+def test_a_passage_like_an_explained_one_but_not_like_its_source_is_found(spark):
+    """The second of three is like the first and the third like the second only: once the second was explained, they never met."""
+    rng, rows = np.random.default_rng(17), []
+
+    def others(n):
+        return [f"w{k}" for k in rng.integers(0, 10**9, n)]
+
+    def changed(words, places):
+        return [others(1)[0] if k in places else w for k, w in enumerate(words)]
+
+    for k in range(0, 90, 3):
+        one = others(120)
+        two = changed(one, {24, 72})
+        for n, words in enumerate((one, two, changed(two, {48, 96}))):
+            rows.append((k + n, " ".join(others(30) + words + others(30))))
+    found = {(r.doc_id, r.source_doc_id) for r in near_duplicate_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert not any((k + 2, k) in found for k in range(0, 90, 3))
+    for n in (1, 2):
+        assert sum((k + n, k + n - 1) in found for k in range(0, 90, 3)) >= 27
