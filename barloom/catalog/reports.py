@@ -238,8 +238,11 @@ def signals_from_state(spark, sf):
     store = FeatureStore(spark, work_dir(spark, "feature-state"), study.feature_state())
     days = [r.session for r in calendar.where("session BETWEEN DATE '2001-05-28' AND DATE '2001-06-29'").select("session").orderBy("session").collect()]
     store.take("2001-05-28", bars, calendar)
+    # The sessions of the month read its bars only, not the whole history each.
+    newer = persist_table(bars.where("session > DATE '2001-05-28'"), "bars")
     for day in days:
-        store.take(day, bars, calendar)
+        if str(day) > "2001-05-28":
+            store.take(day, newer, calendar)
     signals = study.session_signals(store.read_all().where("session > DATE '2001-05-28'"), calendar, F.col("session"))
     return present(
         signals.select(

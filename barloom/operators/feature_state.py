@@ -151,8 +151,11 @@ class FeatureState:
         start = F.struct(self._kept(frame, state).alias("kept"), state[f"{frame}_open"].alias("open"))
         return _let(_let(start, opened), closed)
 
-    def after(self, state: Column, bar: Column) -> Column:
-        """The state moved on by a bar; a bar at or before the state's session changes nothing."""
+    def after(self, state: Column, bar: Column, values: bool = True) -> Column:
+        """The state moved on by a bar; a bar at or before the state's session changes nothing.
+
+        Without ``values`` the feature rows stay those of the state before: two more bars with values replace both.
+        """
         price = F.struct(*[bar[c].alias(c) for c in ("session", "open", "high", "low", "close", "volume")])
         parts = F.struct(
             self._taken("daily", self._kept("daily", state), price).alias("daily"),
@@ -161,6 +164,15 @@ class FeatureState:
 
         def whole(p):
             frames = {"daily": p["daily"], **{frame: p[frame]["kept"] for frame in PERIODS}}
+            rings = []
+            for frame in PERIODS:
+                rings += [p[frame]["kept"]["ring"].alias(f"{frame}_ring"), p[frame]["open"].alias(f"{frame}_open")]
+            kept = [
+                p["daily"]["ring"].alias("daily_ring"), *rings,
+                *[frames[f.timeframe][f"ema_{f.name}"].alias(f"ema_{f.name}") for f in self.averages],
+            ]
+            if not values:
+                return F.struct(bar["session"].alias("session"), state["row"].alias("row"), state["before"].alias("before"), *kept).cast(self.schema)
             now = {f.name: self._value(f, frames[f.timeframe]) for f in self.features}
             before = {
                 f.name: state["row"][f.name] if f.timeframe == "daily" else self._value(f, p[f.timeframe]["known"])
@@ -168,15 +180,10 @@ class FeatureState:
             }
             dollars = F.transform(p["daily"]["ring"], lambda b: b["close"] * b["volume"])
             seen = [_last(p[frame]["kept"]["ring"])["session"].alias(f"{frame}_available") for frame in PERIODS]
-            rings = []
-            for frame in PERIODS:
-                rings += [p[frame]["kept"]["ring"].alias(f"{frame}_ring"), p[frame]["open"].alias(f"{frame}_open")]
             return F.struct(
                 bar["session"].alias("session"),
                 F.struct(*[c.alias(n) for n, c in now.items()], *seen, _mean(dollars, self.adv_lookback).alias("adv")).alias("row"),
-                F.struct(*[c.alias(n) for n, c in before.items()]).alias("before"),
-                p["daily"]["ring"].alias("daily_ring"), *rings,
-                *[frames[f.timeframe][f"ema_{f.name}"].alias(f"ema_{f.name}") for f in self.averages],
+                F.struct(*[c.alias(n) for n, c in before.items()]).alias("before"), *kept,
             ).cast(self.schema)
 
         late = F.coalesce(bar["session"] <= state["session"], F.lit(False))
@@ -202,8 +209,14 @@ class FeatureState:
 
     @cached_property
     def _moved(self) -> Column:
-        """``state`` after ``_bars``; long to build, hence once for all sessions."""
-        return F.when(F.col("_bars").isNull(), F.col("state")).otherwise(F.aggregate("_bars", F.col("state"), self.after))
+        """``state`` after ``_bars``; long to build, hence once for all sessions.
+
+        A row holds the features of the newest bar and of the one before, so only the last two bars get values.
+        """
+        first = F.slice("_bars", F.lit(1), F.greatest(F.size("_bars") - 2, F.lit(0)))
+        newest = F.slice("_bars", F.greatest(F.size("_bars") - 1, F.lit(1)), F.lit(2))
+        begun = F.aggregate(first, F.col("state"), lambda state, bar: self.after(state, bar, values=False))
+        return F.when(F.col("_bars").isNull(), F.col("state")).otherwise(F.aggregate(newest, begun, lambda state, bar: self.after(state, bar)))
 
     def matrix(self, states: DataFrame, session: Column) -> DataFrame:
         """Feature rows of the securities that have a bar on ``session``, as ``feature_matrix`` gives them.

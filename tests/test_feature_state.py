@@ -103,3 +103,19 @@ def test_empty_inputs(spark, tmp_path):
     assert store.versions() == [] and store.read(None).count() == 0
     states = store.take(dt.date(2023, 8, 15), bars.where("false"), cal)
     assert states.count() == 0 and study.session_signals(states, cal, F.lit(dt.date(2023, 8, 15))).count() == 0
+
+
+def test_history_is_taken_without_values_of_bars_that_no_row_keeps(spark, monkeypatch):
+    """Every bar of the history was given all features, though a state keeps those of its two newest bars."""
+    cal, bars = calendar(spark, "2023-08-01", "2024-12-31").cache(), gappy(spark)
+    kind = study.feature_state()
+    days = [r.session for r in bars.where("session <= DATE '2024-03-06'").select("session").distinct().orderBy("session").collect()][-3:]
+    states = kind.advance(kind.empty(spark), bars.where(F.col("session") < F.lit(days[0])), cal)
+    for day in days:
+        states = kind.advance(states, bars.where(F.col("session") == F.lit(day)), cal).localCheckpoint()
+    asked, plain = [], FeatureState.after
+    monkeypatch.setattr(FeatureState, "after", lambda self, state, bar, *a, **k: asked.append(k.get("values", True)) or plain(self, state, bar, *a, **k))
+    fresh = study.feature_state()
+    at_once = fresh.advance(fresh.empty(spark), bars.where("session <= DATE '2024-03-06'"), cal)
+    assert sorted(map(str, at_once.collect())) == sorted(map(str, states.collect()))
+    assert False in asked
