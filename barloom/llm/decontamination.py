@@ -32,6 +32,10 @@ HITS_DDL = (
     "row binary, doc_id bigint, n_words bigint, spans array<struct<start:bigint,stop:bigint>>, "
     "items array<string>, text binary, carry string"
 )
+CUT = pa.schema(
+    [("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("carry", pa.string())]
+)
+CUT_DDL = "doc_id bigint, text string, n_words bigint, n_removed bigint, carry string"
 
 
 class Phrases:
@@ -142,7 +146,9 @@ def _blocks(counts: np.ndarray, most: int) -> Iterator[np.ndarray]:
     yield from (b for b in np.split(np.arange(len(counts)), np.unique(np.minimum(cut + 1, len(counts)))) if len(b))
 
 
-def _scan(rows: DataFrame, phrases: list[tuple[str, bytes | None]], window: int, shard_words: int, keep_text: bool):
+def _scan(
+    rows: DataFrame, phrases: list[tuple[str, bytes | None]], window: int, shard_words: int, keep_text: bool, cut: bool = False
+) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Phrases(phrases, window)
 
@@ -155,9 +161,11 @@ def _scan(rows: DataFrame, phrases: list[tuple[str, bytes | None]], window: int,
                     shard = Shard(known)
             yield from shard.results()
 
+        if cut:
+            return in_batches((_cut(d, text, n, spans, rest) for _, d, n, spans, _, text, rest in each()), CUT, 1000)
         return in_batches((r if keep_text else (*r[:-2], None, None) for r in each()), HITS, 1000)
 
-    return rows.mapInArrow(run, HITS_DDL)
+    return rows.mapInArrow(run, CUT_DDL if cut else HITS_DDL)
 
 
 def find_contamination(
@@ -172,6 +180,7 @@ def find_contamination(
     shard_words: int = SHARD_WORDS,
     keep_text: bool = False,
     carry: tuple[str, ...] = (),
+    cut: bool = False,
 ) -> DataFrame:
     """Where benchmark passages stand in the documents: (doc_id, n_words, spans, items, text, carry).
 
@@ -191,7 +200,9 @@ def find_contamination(
     no words and no hits; items without a word are ignored; empty documents
     give no rows and an empty benchmark gives no hits. Ids may be null, further
     columns are ignored. ``text`` and ``carry`` (the columns
-    named there as JSON) are null unless ``keep_text``.
+    named there as JSON) are null unless ``keep_text``. With ``cut`` the rows are those of the
+    texts without their spans instead, (doc_id, text, n_words, n_removed, carry). One block is
+    searched and cut in the same Python step, so a task holds one worker and texts travel once.
     """
     own = id_and_text(docs, id_col, text_col, carry=carry)
     items = benchmark.select(
@@ -202,7 +213,7 @@ def find_contamination(
     if blocks == 1:
         phrases = [(r.item, bytes(r.words)) for r in items.collect()]
         rows = own.select(F.lit(None).cast("binary").alias("row"), "doc_id", "text", "carry")
-        return _scan(rows, phrases, window, shard_words, keep_text).drop("row")
+        return _scan(rows, phrases, window, shard_words, keep_text, cut).drop("row")
 
     key = F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).cast("binary"), F.lit(b" "),
                                   F.coalesce("text", F.lit(b""))), 256))
@@ -228,11 +239,18 @@ def find_contamination(
                       ).otherwise(F.concat(done, F.array(span)))
 
     found = found.select("row", F.aggregate("many", none, join).alias("spans"), "items")
-    base = _scan(rows, [], window, shard_words, keep_text).select("row", "doc_id", "n_words", "text", "carry")
-    return base.join(found, "row", "left").select(
+    base = _scan(rows, [], window, shard_words, keep_text or cut).select("row", "doc_id", "n_words", "text", "carry")
+    merged = base.join(found, "row", "left").select(
         "doc_id", "n_words", F.coalesce("spans", none).alias("spans"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"), "text", "carry",
     )
+    if not cut:
+        return merged
+
+    def cut_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return in_batches((_cut(*r) for r in rows_of(batches, "doc_id", "text", "n_words", "spans", "carry")), CUT, 1000)
+
+    return merged.mapInArrow(cut_texts, CUT_DDL)
 
 
 def without_spans(text: bytes, spans: list) -> bytes:
@@ -247,6 +265,11 @@ def without_spans(text: bytes, spans: list) -> bytes:
     return b"".join((*out, text[at:]))
 
 
+def _cut(doc_id: int | None, text: bytes | None, words: int, spans: list, rest: str | None) -> tuple:
+    left = None if text is None else without_spans(text, spans).decode("utf-8", "replace")
+    return doc_id, left, words, sum(s["stop"] - s["start"] for s in spans), rest
+
+
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), **options
 ) -> DataFrame:
@@ -254,18 +277,5 @@ def decontaminate(
 
     Columns to ``carry`` follow unchanged. Null texts stay null.
     """
-    found = find_contamination(docs, benchmark, id_col=id_col, text_col=text_col, keep_text=True, carry=carry, **options)
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("carry", pa.string())]
-    )
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for doc_id, text, words, spans, rest in rows_of(batches, "doc_id", "text", "n_words", "spans", "carry"):
-                left = None if text is None else without_spans(text, spans).decode("utf-8", "replace")
-                yield doc_id, left, words, sum(s["stop"] - s["start"] for s in spans), rest
-
-        return in_batches(rows(), schema, 1000)
-
-    cut = found.mapInArrow(run, "doc_id bigint, text string, n_words bigint, n_removed bigint, carry string")
-    return cut.select("doc_id", "text", "n_words", "n_removed", *carried(docs, carry))
+    clean = find_contamination(docs, benchmark, id_col=id_col, text_col=text_col, carry=carry, cut=True, **options)
+    return clean.select("doc_id", "text", "n_words", "n_removed", *carried(docs, carry))

@@ -96,3 +96,10 @@ def test_cut_texts(spark, items):
     docs = spark.createDataFrame([(1, "Say: one, TWO! three.", "en")], "doc_id bigint, text string, lang string")
     row = decontaminate(docs, items.filter("item_id = 3"), carry=("lang",)).first()
     assert (row.text, row.n_words, row.n_removed, row.lang) == ("Say: ! three.", 4, 2, "en")
+
+
+def test_texts_are_searched_and_cut_in_one_python_step(edges, items):
+    clean = decontaminate(edges, items, carry=("lang", "n_chars"))
+    assert clean._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    many = decontaminate(edges, items, carry=("lang", "n_chars"), block_bytes=60)
+    assert sorted(map(str, clean.collect())) == sorted(map(str, many.collect()))
