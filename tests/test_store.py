@@ -5,6 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from barloom.session import FREE_SHUFFLES, persist_table
 from barloom.sources import sinks
 
 D = dt.date
@@ -26,3 +27,16 @@ def test_a_written_security_is_replaced_as_a_whole(spark, tmp_path):
     )
     assert not (tmp_path / "store" / "year=2021").exists()
     assert {f: os.stat(f).st_mtime_ns for f in untouched} == untouched
+
+
+def test_shuffles_behind_a_written_intermediate_are_freed(spark):
+    def kept():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in files.split("\n") if f.endswith(".data") and "shuffle" in f}
+
+    before, setting = kept(), spark.conf.get(FREE_SHUFFLES, None)
+    counts = spark.range(10_000).groupBy((F.col("id") % 997).alias("k")).count()
+    assert persist_table(counts, "counts").count() == 997
+    assert spark.conf.get(FREE_SHUFFLES, None) == setting
+    left = kept() - before
+    assert len(left) <= 1  # of the count of the rows that were read again
