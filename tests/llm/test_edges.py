@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from barloom.llm import pii, quality_rules, secret_scan
+from barloom.llm.common import id_and_text
 from barloom.llm.decontamination import decontaminate, find_contamination
 from barloom.llm.html_extraction import main_texts
 from barloom.llm.licenses import find_licenses
 from barloom.llm.minhash import near_duplicates
 from barloom.llm.packing import pack
 from barloom.llm.sharding import kd_shards
-from barloom.llm.substring_dedup import near_duplicate_passages
+from barloom.llm.substring_dedup import _windows, live_windows, near_duplicate_passages
 
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(60_000))
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words bigint, spans string, key string, node bigint, size int"
@@ -103,3 +105,32 @@ def test_texts_are_searched_and_cut_in_one_python_step(edges, items):
     assert clean._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     many = decontaminate(edges, items, carry=("lang", "n_chars"), block_bytes=60)
     assert sorted(map(str, clean.collect())) == sorted(map(str, many.collect()))
+
+
+def test_a_notice_in_many_texts_makes_no_windows(spark):
+    """Thirteen words that many documents have are no passage; before, their windows paired all of these documents."""
+    rng = np.random.default_rng(23)
+
+    def others(n):
+        return " ".join(f"w{k}" for k in rng.integers(0, 10**9, n))
+
+    notice, passage = others(13), others(60)
+    rows = [(k, f"{others(60)} {notice} {others(60)}") for k in range(40)]
+    rows += [(k, f"{others(40)} {passage} {others(40)}") for k in (100, 101)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    windows = _windows(id_and_text(docs, "doc_id", "text"), 5, 46, 4, 80).collect()
+    assert {r.doc for r in windows} == {100, 101}
+    assert [(r.doc_id, r.source_doc_id) for r in near_duplicate_passages(docs).collect()] == [(101, 100)]
+
+
+def test_windows_are_live_around_stretches_that_do_not_fall():
+    rng = np.random.default_rng(29)
+    for _ in range(200):
+        n, least = int(rng.integers(1, 50)), int(rng.integers(1, 12))
+        spare = np.concatenate(([0], np.cumsum(rng.choice([-80, 20], n))))
+        low, at, high = np.sort(rng.integers(0, n, (20, 3))).T
+        want = [
+            any(spare[y + 1] >= spare[x] for x in range(a, c + 1) for y in range(max(c, x + least - 1), b + 1))
+            for a, c, b in zip(low, at, high, strict=True)
+        ]
+        assert live_windows(spare, low, at, high, least).tolist() == want
