@@ -134,3 +134,19 @@ def test_windows_are_live_around_stretches_that_do_not_fall():
             for a, c, b in zip(low, at, high, strict=True)
         ]
         assert live_windows(spare, low, at, high, least).tolist() == want
+
+
+def test_copies_have_one_row_each_and_lose_no_link(spark):
+    """Before, a copy also had a row for each passage of the text it copies."""
+    rng = np.random.default_rng(31)
+
+    def others(n):
+        return " ".join(f"w{k}" for k in rng.integers(0, 10**9, n))
+
+    one, two = others(60), others(60)
+    texts = {1: f"{one} {others(40)}", 2: f"{others(40)} {two}"}
+    texts[3] = texts[4] = texts[5] = f"{one} {others(30)} {two}"
+    texts[6] = texts[7] = others(49)
+    docs = spark.createDataFrame([*texts.items(), (5, texts[5]), (8, None)], "doc_id bigint, text string")
+    found = sorted((r.doc_id, r.start_word, r.end_word, r.source_doc_id) for r in near_duplicate_passages(docs).collect())
+    assert found == [(3, 0, 60, 1), (3, 90, 150, 2), (4, 0, 150, 3), (5, 0, 150, 3)]
