@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -10,6 +11,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 import brute
 from barloom.llm import pii
@@ -17,7 +19,7 @@ from barloom.llm.catalog import QUERIES
 from barloom.llm.common import alnum_words
 from barloom.llm.decontamination import Phrases, Shard, find_contamination
 from barloom.llm.fm_index import FMIndex
-from barloom.llm.html_extraction import extract, induce, main_texts, simple_tree_matching
+from barloom.llm.html_extraction import extract, induce, induce_wrappers, main_texts, references, simple_tree_matching
 from barloom.llm.html_tree import parse
 from barloom.llm.licenses import NOTICES, find_licenses, scanner
 from barloom.llm.minhash import Sketcher, near_duplicates
@@ -350,3 +352,46 @@ def test_a_passage_like_an_explained_one_but_not_like_its_source_is_found(spark)
     assert not any((k + 2, k) in found for k in range(0, 90, 3))
     for n in (1, 2):
         assert sum((k + n, k + n - 1) in found for k in range(0, 90, 3)) >= 27
+
+
+def _first_by_hash(spark, rows, n):
+    """The rows whose id and address come first in the order that once chose a host's sample."""
+    order = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string").orderBy(F.xxhash64("page_id", "url")).limit(n)
+    return {r.page_id for r in order.collect()}
+
+
+def test_wrappers_are_induced_from_all_pages_of_a_host(spark):
+    """Wrappers came from six pages of a host: what these did not show was never template."""
+    ids = [(k, "http://a.org/x") for k in range(40)] + [(k, "http://b.org/x") for k in range(100, 140)]
+    early = _first_by_hash(spark, ids[:40], 6) | _first_by_hash(spark, ids[40:], 6)
+
+    def plain(k, banner):
+        return f"<body>{'<div class=top>Welcome to the site</div>' if banner else ''}<div class=main><p>Story {k} begins here</p></div>"
+
+    # The first six pages of a.org are copies of one article, and those of b.org have no banner.
+    html = {k: _share_page(k, "z" if k in early else f"s{k}x") if k < 100 else plain(k, k not in early) for k, _ in ids}
+    pages = spark.createDataFrame([(k, url, html[k]) for k, url in ids], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in main_texts(pages).collect()}
+    assert not any("Share this story" in got[k] or "by mail" in got[k] for k in range(40))
+    assert [got[k] for k in range(100, 140)] == [f"Story {k} begins here" for k in range(100, 140)]
+
+
+def test_counted_wrappers_equal_those_of_all_pages_at_once(spark):
+    rng, rows = np.random.default_rng(23), []
+    for host in "abcdefgh":
+        layout = [f"l{i}" for i in rng.integers(0, 3, 4)]
+        for k in range(int(rng.integers(1, 14))):
+            kind, some = "article" if host > "d" and rng.random() < 0.7 else "div", lambda n: " ".join(map(str, rng.integers(0, n, 5)))  # noqa: B023
+            parts = "".join(f"<div class={c}><p>{some(2 + 50 * (i % 2))}</p><p>Rights</p></div>" for i, c in enumerate(layout))
+            rows.append((len(rows), f"http://{host}.org/{k}", f"<body><div>Top {host}</div><{kind}><h1>T</h1><p>{some(1000)}</p>{parts}<p>Share</p></{kind}>"))
+    frame = spark.createDataFrame(rows, "page_id long, host string, html string").selectExpr("page_id", "substring(host, 8, 5) AS host", "host AS url", "html")
+    got = {r.host: json.loads(r.wrapper) for r in induce_wrappers(frame).collect()}
+    first = {r.host: r.reference for r in references(frame).collect()}
+    asked = [r.host for r in frame.where("html NOT LIKE '%<article>%'").select("host").distinct().collect()]
+    for host in first:
+        pages = [r[2] for r in rows if r[1][7:12] == host and r[2] != first[host]]
+        want = induce([first[host], *pages])
+        assert sorted(got.get(host, {}).get("inside") or []) == want["inside"]
+        if host in asked:
+            assert (got[host].get("template") or [], got[host].get("content")) == (want["template"], want["content"])
+    assert any(w.get("template") for w in got.values()) and any(w.get("inside") for w in got.values())
