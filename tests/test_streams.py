@@ -75,6 +75,43 @@ def test_position_tracker_orders_bars_over_batches_and_reports_late_ones(spark,
     assert late == [("A", days[3], 3), ("A", days[5], 3), ("B", days[3], 3)]
 
 
+def test_position_tracker_keeps_one_state_for_a_bucket_of_securities(spark, tmp_path):
+    """Each security was a state and a call of its own, whose cost by far exceeded that of its bars."""
+    runs.use_rocksdb(spark)
+    days = business_days("2024-01-02", "2024-02-29")
+    bars = None
+    for k in range(12):
+        one = noisy(spark, days, k, f"S{k}")
+        bars = one if bars is None else bars.unionByName(one)
+    entries = bars.select(
+        F.concat_ws("-", "security_id", F.col("session").cast("string")).alias("candidate_id"), "security_id",
+        F.col("session").alias("entry_session"), (F.col("open") - 6).alias("stop"), (F.col("open") + 7).alias("target"),
+    )
+    per_bar = entries.groupBy("security_id", F.col("entry_session").alias("session")).agg(
+        F.collect_list(F.struct("candidate_id", "stop", "target")).alias("entries")
+    )
+    feed = bars.drop("volume").join(per_bar, ["security_id", "session"]).persist()
+    # The first securities come later than the others, within the delay.
+    late = F.when(F.substring("security_id", 2, 2).cast("int") < 3, 9).otherwise(0)
+    number = F.floor((F.datediff("session", F.lit(days[0])) + late) / 20)
+    inbox, out, state = (str(tmp_path / n) for n in ("inbox", "out", "state"))
+    closing = spark.createDataFrame([("~", D(2024, 4, 30), 0.0, 0.0, 0.0, 0.0)], "security_id string, session date, open double, high double, low double, close double")
+    calls = 0
+    for rows in [feed.where(number == n) for n in range(4)] + [closing.withColumn("entries", F.lit(None).cast(feed.schema["entries"].dataType))]:
+        rows.write.mode("append").parquet(inbox)
+        stream = PS.track_positions(spark.readStream.schema(feed.schema).parquet(inbox), hold=21, delay=10, buckets=2)
+        query = stream.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+        query.awaitTermination()
+        calls = max([calls, *(p.stateOperators[0].numRowsUpdated for p in query.recentProgress if p.stateOperators)])
+    pick = ["candidate_id", "exit_session", "exit_reason", F.round("exit_price", 6), "sessions_held"]
+    tracked = spark.read.parquet(out)
+    got, want = PS.exits(tracked).select(pick), X.label_outcomes(entries, bars, 21).where("exit_reason IS NOT NULL").select(pick)
+    assert got.count() > 100 and PS.late_bars(tracked).isEmpty()
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    # A state and a timer with its index for each bucket.
+    assert 0 < calls <= 8
+
+
 def test_forward_ledger_decisions(spark, tmp_path):
     days = business_days("2024-01-02", "2024-01-09")
     rows = spark.createDataFrame([(d, s, float(i)) for i, d in enumerate(days) for s in ("A", "B")], "session date, security_id string, v double")
