@@ -10,6 +10,7 @@ from barloom.catalog import performance  # noqa: F401  (registers the views used
 from barloom.catalog.common import present
 from barloom.catalog.views_sql import with_views
 from barloom.operators import equity as Q, gate as G, signals as SG
+from barloom.operators.scaled import dealt_by
 from barloom.operators.sessions import session_calendar, small
 from barloom.plans import grid, study
 from barloom.session import persist_table, work_dir
@@ -235,17 +236,38 @@ def pending_entries_batch(spark, sf):
     return present(PD.pending_batch(_signals(spark, sf), M.bars(spark, sf)), 6)
 
 
-def _spans(signals, bars, rows=1 << 21):
-    """Signals by entry session and bars by session, in as many equal spans of days as keep about ``rows`` bars in one."""
+def _numbered(signals, bars, rows):
+    """Signals by entry session and bars by session with the number ``span`` of one of as many equal spans of days as
+    keep about ``rows`` bars in one, and how many spans there are."""
     first, last, n = bars.agg(F.min("session"), F.max("session"), F.count(F.lit(1))).first()
-    if not n:
-        yield [signals, bars]
-        return
-    step = -(-((last - first).days + 1) // -(-n // rows))
-    starts = [first + dt.timedelta(k) for k in range(0, (last - first).days + 1, step)]
-    for start, end in zip([dt.date(1000, 1, 1), *starts[1:]], [*starts[1:], dt.date(9999, 12, 31)], strict=True):
-        at = lambda name: (F.col(name) >= F.lit(start)) & (F.col(name) < F.lit(end))  # noqa: B023, E731
-        yield [signals.where(at("entry_session")), bars.where(at("session"))]
+    days = (last - first).days + 1 if n else 1
+    step = -(-days // max(1, -(-n // rows)))
+    spans, tables = -(-days // step), []
+    for table, name in ((signals, "entry_session"), (bars, "session")):
+        number = F.floor(F.datediff(name, F.lit(first)) / step) if n else F.lit(0)
+        tables.append(table.where(F.col(name).isNotNull()).withColumn("span", F.greatest(F.lit(0), F.least(number, F.lit(spans - 1))).cast("int")))
+    return tables, spans
+
+
+def _spans(signals, bars, rows=1 << 22):
+    """The rows of each span, picked from the whole tables."""
+    tables, spans = _numbered(signals, bars, rows)
+    for k in range(spans):
+        yield [t.where(F.col("span") == k).drop("span") for t in tables]
+
+
+def _span_folders(signals, bars, rows=1 << 22):
+    """The same as folders: each table is dealt and written once for all spans, so no span reads what belongs to another."""
+    spark = bars.sparkSession
+    tables, spans = _numbered(signals, bars, rows)
+    files, folders = spark.sparkContext.defaultParallelism, [work_dir(spark, f"{n}-spans") for n in ("signal", "bar")]
+    for table, folder in zip(tables, folders, strict=True):
+        dealt = table.repartition(spans * files, "span", F.pmod(F.xxhash64("security_id"), F.lit(files)))
+        dealt.write.partitionBy("span").parquet(folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folders[0]).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for k in range(spans):
+        yield [f"{f}/span={k}" if fs.exists(path(f"{f}/span={k}")) else None for f in folders]
 
 
 @q("stream_pending_entries", with_views(f"SELECT * FROM ({_PENDING}) WHERE status <> 'pending'", recursive=True))
@@ -255,13 +277,11 @@ def stream_pending_entries(spark, sf):
     The rules of a signal wait together, and both feeds arrive by spans of sessions, more spans for more
     bars, so the state holds no more than a span however large the tables are.
     """
-    cal = M.calendar(spark, sf)
-    fired = SG.with_entry_session(
-        SG.rules_fired(study.study_matrix(M.bars(spark, sf), cal), grid.rules(), grid.PRIORITY, "adv"), cal
-    )
-    signals = persist_table(fired.select("rules", "security_id", "signal_session", "entry_session"), "signal-feed")
-    bars = persist_table(M.bars(spark, sf).select("security_id", "session", "open"), "bar-feed")
-    entered = runs.run_arrivals(spark, _spans(signals, bars), PD.enter_pending, "pending")
+    cal, bars = M.calendar(spark, sf), persist_table(M.bars(spark, sf), "bar-feed")
+    matrix = study.study_matrix(dealt_by(bars, ["security_id"], bars.count()), cal)
+    fired = SG.with_entry_session(SG.rules_fired(matrix, grid.rules(), grid.PRIORITY, "adv"), cal)
+    feeds = [fired.select("rules", "security_id", "signal_session", "entry_session"), bars.select("security_id", "session", "open")]
+    entered = runs.run_folders(spark, _span_folders(*feeds), [f.schema for f in feeds], PD.enter_pending, "pending")
     return present(entered.select(F.explode("rules").alias("rule"), *[c for c in entered.columns if c != "rules"]), 6)
 
 

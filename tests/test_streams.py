@@ -245,3 +245,29 @@ def test_batches_arrive_whole_and_in_spans_that_grow_in_number_with_the_bars(spa
     want = PD.pending_batch(signals, bars).where("status <> 'pending'")
     pick = lambda df: sorted(map(str, df.select("security_id", "entry_session", "status", "entry_price", "rules").collect()))
     assert pick(got) == pick(want)
+
+
+def test_all_arrivals_go_through_one_query_with_few_state_partitions(spark, tmp_path, monkeypatch):
+    """Each batch was a query of its own with as many state partitions as shuffles have, and picked its rows from the whole feeds."""
+    from barloom.catalog import streams as ST
+
+    made = iter(range(100))
+    for module in (runs, ST):
+        monkeypatch.setattr(module, "work_dir", lambda _, label: str(tmp_path / f"{label}-{next(made)}"))
+    day = lambda n: dt.date(2024, 1, n)
+    bars = spark.createDataFrame([(s, day(n), 100.0 + n) for s in "ab" for n in range(2, 30) if n < 9 or n > 20], "security_id string, session date, open double")
+    waiting = [(["r", "q"], s, day(n - 1), day(n)) for s in "abc" for n in (*range(2, 7), *range(21, 31))] + [(["r"], "a", day(29), None)]
+    signals = spark.createDataFrame(waiting, "rules array<string>, security_id string, signal_session date, entry_session date")
+    most, before = spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(most + 5))
+    try:
+        folders = list(ST._span_folders(signals, bars, rows=10))
+        got = runs.run_folders(spark, folders, [signals.schema, bars.schema], PD.enter_pending, "few")
+        assert spark.conf.get("spark.sql.shuffle.partitions") == str(most + 5)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(folders) > 3 and any(s is None for s, _ in folders) and any(b is None for _, b in folders)
+    assert len(list(tmp_path.glob("few-checkpoint-*/state/0/[0-9]*"))) == most
+    want = PD.pending_batch(signals, bars).where("status <> 'pending'")
+    pick = lambda df: sorted(map(str, df.select("security_id", "entry_session", "status", "entry_price", "rules").collect()))
+    assert got.count() > 30 and pick(got) == pick(want)
