@@ -108,11 +108,10 @@ SELECT rule, security_id, CAST(signal_session AS VARCHAR) AS signal_session, {_T
        row_number() OVER (PARTITION BY rule, signal_session ORDER BY daily_return20 DESC, {_TIE_SQL}) AS priority_rank
 FROM v_signals""", recursive=True))
 def signal_priority(spark, sf):
-    signals = study.study_signals(M.bars(spark, sf), M.calendar(spark, sf)).withColumn(
-        "tie", tie_break(TIE, F.sha2(F.col("rule"), 256), F.col("signal_session"), F.col("security_id"))
-    )
-    ranked = SG.priority_order(signals, ["rule", "signal_session"], grid.PRIORITY, "tie")
-    return present(ranked.select("rule", "security_id", "signal_session", "tie", "priority_rank"))
+    cal = M.calendar(spark, sf)
+    fired = SG.rules_fired(study.study_matrix(M.bars(spark, sf), cal), grid.rules(), grid.PRIORITY, "adv")
+    tie = tie_break(TIE, F.sha2(F.col("rule"), 256), F.col("signal_session"), F.col("security_id"))
+    return present(SG.rules_in_order(SG.with_entry_session(fired, cal), grid.PRIORITY, tie))
 
 
 _FRAMES = {f.name: f.timeframe for f in grid.FEATURES}

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.operators.rules import all_of
-from barloom.operators.scaled import bucketed_running
+from barloom.operators.scaled import bucketed_running, dealt_by
 from barloom.operators.sessions import small
+from barloom.session import persist_table
 
 
 def rules_fired(matrix: DataFrame, rules: Sequence, priority: str, adv: str, **how) -> DataFrame:
@@ -72,6 +73,28 @@ def priority_order(
     )
 
 
+def rules_in_order(fired: DataFrame, priority: str, tie: Column, width: float = 0.01) -> DataFrame:
+    """Rank of each signal within its rule and session, from one row per security and session with the ``rules`` that fired.
+
+    As ``priority_order``, but a signal is written once for all its rules and crosses the network once: what ``tie``
+    works out of a signal and its ``rule`` is made where it is ranked. ``fired`` keeps ``security_id``, ``signal_session``,
+    ``rules`` and ``priority``.
+    """
+    place, order = ["signal_session", "_bucket"], -F.col(priority)
+    rows = persist_table(fired.select("rules", "security_id", "signal_session", priority, F.floor(order / width).alias("_bucket")), "fired")
+    counts = rows.select(*place, F.explode("rules").alias("rule")).groupBy(*place, "rule").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("signal_session", "rule").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("n", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    size = rows.count()
+    # Both sides are dealt alike, by what the ranks are counted in, rules aside: neither the join nor the window deals again.
+    offsets = dealt_by(offsets, place, size).groupBy(*place).agg(F.map_from_entries(F.collect_list(F.struct("rule", "n"))).alias("_before"))
+    dealt = dealt_by(rows, place, size).join(offsets, place)
+    each = dealt.withColumn("rule", F.explode("rules")).withColumn("tie", tie)
+    inside = Window.partitionBy(*place, "rule").orderBy(order, "tie")
+    rank = F.row_number().over(inside) + F.element_at("_before", F.col("rule"))
+    return each.select("rule", "security_id", "signal_session", "tie", rank.cast("long").alias("priority_rank"))
+
+
 def admit(
     ranked: DataFrame, keys: Sequence[str], rank: str, notional: Column, slots: int, cap: float, chunk: int = 4096
 ) -> DataFrame:

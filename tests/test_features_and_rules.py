@@ -143,3 +143,20 @@ def test_rows_dealt_by_key_keep_their_tasks_and_stay_whole(spark):
     assert len(found) > 8 and max(r.rows for r in found) < 400
     assert sum(r.rows for r in found) == 1200 and sum(r["keys"] for r in found) == 60
     assert {r.n for r in ranked.groupBy("k").agg(F.max("n").alias("n")).collect()} == {20}
+
+
+def test_ranks_by_rule_need_no_second_exchange_of_the_signals(spark):
+    """Signals crossed the network twice, unfolded by rule and with their tie hashes, and the matrix was worked out twice."""
+    days = business_days("2024-01-02", "2024-01-12")
+    rows = [(f"S{k}", d, [r for i, r in enumerate(("a", "b", "c")) if (k + i) % 3], (k * 7 % 11 - 5) / 40) for k in range(50) for d in days]
+    fired = spark.createDataFrame(rows, "security_id string, signal_session date, rules array<string>, score double")
+    tie = F.sha2(F.concat_ws("|", "rule", "security_id"), 256)
+    got = SG.rules_in_order(fired, "score", tie)
+    each = fired.withColumn("rule", F.explode("rules")).withColumn("tie", tie)
+    order = Window.partitionBy("rule", "signal_session").orderBy(F.desc("score"), "tie")
+    want = each.select("rule", "security_id", "signal_session", "tie", F.row_number().over(order).cast("long").alias("priority_rank"))
+    assert got.count() == want.count() > 500
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    physical = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("sha2(") == 1 and not any("tie#" in line for line in physical.splitlines() if "Exchange hashpartitioning" in line)
